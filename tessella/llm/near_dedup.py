@@ -41,6 +41,9 @@ REGISTERS = BANDS * ROWS
 MANTISSA = 9
 #: Registers that agree by accident are expected from their count of states; the estimate must reach this.
 LEAST_ESTIMATE = 0.5
+#: Four bits of each register screen pairs inside the join of a bucket with itself: at least so many of the REGISTERS must
+#: agree. At similarity 0.8, 130 do on average, and under 103 in 2 of a hundred million pairs.
+WORDS, SCREEN = REGISTERS // 16, 103
 #: Rows of (doc_id) that may be broadcast to pick texts for confirmation; beyond it the texts are joined by a shuffle.
 PICK_ROWS = 1_000_000
 
@@ -105,23 +108,28 @@ def registers(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+_SHIFTS = np.arange(0, 64, 4, dtype=_U)
+
+
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, digests, sigs = [], [], []
+            sizes, digests, sigs, bits = [], [], [], []
             for text in b.column(1):
                 h = shingle_hashes(text.as_py(), width)
                 sizes.append(len(h))
                 digests.append(xxhash.xxh3_128_digest(h.tobytes()))
-                sigs.append(registers(h).astype("<u2").tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "digest", "sig"])
+                r = registers(h)
+                sigs.append(r.astype("<u2").tobytes())
+                bits.append(((r & 15).astype(_U).reshape(WORDS, 16) << _SHIFTS).sum(axis=1, dtype=_U).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sig", "bits"])
 
     return run
 
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n (set size), digest (of the set) and sig (registers) of every document, in one pass over the texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary")
+    """doc_id, n (set size), digest (of the set), sig (registers) and bits (four of each register) of every document, in one pass over the texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary, bits array<long>")
 
 
 def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -193,6 +201,17 @@ def _confirm(percent: int):
     return run
 
 
+def _alike(x: str, y: str):
+    """At least SCREEN registers agree in their four bits; columns x0, x1, ... and y0, y1, ..."""
+    differ = F.lit(0)
+    for i in range(WORDS):
+        z = F.col(f"{x}{i}").bitwiseXOR(F.col(f"{y}{i}"))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 1))
+        z = z.bitwiseOR(F.shiftrightunsigned(z, 2)).bitwiseAND(F.lit(0x1111111111111111))
+        differ = differ + F.bit_count(z)
+    return differ <= REGISTERS - SCREEN
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (a, b), for every id of an edge.
 
@@ -228,7 +247,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     full = sigs.where("n > 0 and doc_id is not null")
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     members = written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "members")
-    reps = written(sigs.where("n > 0").join(members.where("doc_id = rep").select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", "sig").dropDuplicates(["id"]), "reps")
+    reps = written(sigs.where("n > 0").join(members.where("doc_id = rep").select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", "sig", "bits").dropDuplicates(["id"]), "reps")
 
     bands = reps.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
@@ -254,10 +273,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = buckets.join(first, "id", "left").select("bucket", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.component").alias("main"))
-    mixed = written(placed.join(main, "bucket"), "mixed")
-    x = mixed.where("component <> main").select("bucket", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("component").alias("xc"), "hub")
-    y = mixed.select("bucket", F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("component").alias("yc"))
-    more = x.join(y, "bucket").where(f"xc <> yc and xi <> hub and yi <> hub and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
+    screens = reps.select("id", *[F.col("bits")[i].alias(f"s{i}") for i in range(WORDS)])
+    mixed = written(placed.join(main, "bucket").join(screens, "id"), "mixed")
+    x = mixed.where("component <> main").select("bucket", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("component").alias("xc"), "hub", *[F.col(f"s{i}").alias(f"x{i}") for i in range(WORDS)])
+    y = mixed.select(F.col("bucket").alias("_b"), F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("component").alias("yc"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(WORDS)])
+    unlike = F.expr(f"xc <> yc and xi <> hub and yi <> hub and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
+    more = x.join(y, (F.col("bucket") == F.col("_b")) & unlike & _alike("x", "y"))
     more = confirmed(more.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct())
     final = components(links.union(more)) if not more.isEmpty() else first
     label = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
