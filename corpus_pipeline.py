@@ -7,8 +7,9 @@ pivotal rounding or BPE. The tests hold the stages against brute force."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import language_id, mixing, near_dedup, quality_rules
+from tessella.llm import bpe, language_id, mixing, near_dedup, quality_rules, queries
 from tessella.llm.common import written
 
 #: A document whose best cosine with any language is under this is of no language learnt.
@@ -35,7 +36,12 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
-STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near_duplicates), ("source_mixing", mix)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All columns but the text, and the text's ids and their count."""
+    return bpe.encoded(docs, queries.byte_bpe()).withColumn("n_tokens", F.size("ids")).drop("text")
+
+
+STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near_duplicates), ("source_mixing", mix), ("bpe", encode)]
 
 ORACLE_SQL = None
 

@@ -48,7 +48,8 @@ def byte_letters() -> list[str]:
 
 
 #: The pattern by which byte-level pre-tokenizers cut words (a fixed value).
-_LATIN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_WORDS = regex.compile(PATTERN)
 
 
 class Trie:
@@ -222,7 +223,7 @@ class Codec:
     def _words(self, text: str) -> list[str]:
         """The pre-tokenizer's words, in byte letters."""
         if max(text) < "\u0250":  # Latin, where all editions of Unicode agree on what is a letter
-            return [w.encode().decode("latin-1").translate(self.letters_of) for w in _LATIN.findall(text)]
+            return [w.encode().decode("latin-1").translate(self.letters_of) for w in _WORDS.findall(text)]
         return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
 
     def _learn(self, pieces: set[str]) -> None:

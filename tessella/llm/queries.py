@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, mixing, near_dedup, quality_rules
+from . import bpe, fingerprints, language_id, mixing, near_dedup, quality_rules, token_shards, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,29 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(docs, model).select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def byte_bpe() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(_documents(spark, sf_dir), byte_bpe())
+
+
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_shards.written_and_read(_documents(spark, sf_dir), byte_bpe(), end_id=0)
+
+
+#: host, path, verdict
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
@@ -40,6 +63,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_minhash_near_dedup": op1,
         "op3_fingerprints": op3,
         "op4_language_id": op4,
+        "op5_bpe_trie": op5,
+        "op6_token_shards": op6,
+        "op7_url_filter": op7,
         "op8_source_mixing": op8,
         "op10_quality_rules": op10,
     }
