@@ -33,10 +33,10 @@ LEAST_WORDS, MOST_REPEATED, LEAST_GROUP, REACH = 50, 50, 100, 6
 #: measure: (numerator, denominator, factor, floor of the upper threshold, whether a lower threshold holds too)
 MEASURES = {
     "symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 200, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 300, False),
-    "upper": ("n_upper", "word_chars", 1000, 200, False),
-    "bangs": ("n_bangs", "n_words", 1000, 100, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 400, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, False),
+    "upper": ("n_upper", "word_chars", 1000, 500, False),
+    "bangs": ("n_bangs", "n_words", 1000, 200, False),
     "word_length": ("word_chars", "n_words", 100, 900, True),
 }
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
