@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, mixing, near_dedup, quality_rules, token_shards, url_filter
+from . import bpe, fingerprints, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, token_shards, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir), width=4, percent=80)
 
 
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(_documents(spark, sf_dir))
+
+
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_likeness(_documents(spark, sf_dir))
 
@@ -54,6 +58,12 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
 
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    out = quality_classifier.scored(_documents(spark, sf_dir), labels)
+    return out.select("doc_id", quality_classifier.held_out().alias("held_out"), "score", "predicted")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judged(_documents(spark, sf_dir))
 
@@ -61,12 +71,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_near_dedup": op1,
+        "op2_license_scan": op2,
         "op3_fingerprints": op3,
         "op4_language_id": op4,
         "op5_bpe_trie": op5,
         "op6_token_shards": op6,
         "op7_url_filter": op7,
         "op8_source_mixing": op8,
+        "op9_quality_classifier": op9,
         "op10_quality_rules": op10,
     }
 
