@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, fingerprints, language_id, license_scan, mixing, near_dedup, quality_classifier, quality_rules, token_shards, url_filter
+from . import bpe, fingerprints, language_id, license_scan, mixing, near_dedup, oracles, quality_classifier, quality_rules, token_shards, url_filter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_minhash_near_dedup": oracles.NEAR_DEDUP,
+        "op7_url_filter": oracles.URL_FILTER,
+        "op10_quality_rules": oracles.quality_rules_sql(),
+    }
 
 
