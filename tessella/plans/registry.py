@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_frames, queries_pixels, queries_votes
+
 Query = Callable[[SparkSession, str], DataFrame]
+_MODULES = (queries_pixels, queries_votes, queries_frames)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, (_, sql) in m.QUERIES.items() if sql}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """A sheet of enlarged frames voted back to pixels."""
+    return queries()["j01_nearest_colour"](spark, sf_dir)
