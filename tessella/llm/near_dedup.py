@@ -17,7 +17,9 @@ Stages, all of them distributed:
    Candidate pairs must pass a size bound and the collision-corrected estimate of their similarity, and are then
    confirmed on the full sets. Connected components follow from alternating star contractions.
 4. Members of a bucket that are still in different components are compared with each other (members outside the bucket's
-   largest component against all of it), so no link between components is missed for lack of a common hub.
+   largest component against all of it), so no link between components is missed for lack of a common hub. Small buckets
+   give pairs by a join. Large ones are cut into blocks by a hash of the id; a task takes a block of each side with
+   signatures and sets, and gives out nothing but confirmed links, each pair in the first band that it shares.
 
 Pairs inside one component are never needed, so a bucket of n near copies costs about n comparisons and not n squared.
 With 32 bands of 5 registers, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**32, 3 in a million.
@@ -40,10 +42,12 @@ REGISTERS = BANDS * ROWS
 #: Bits of mantissa in a register; six bits hold the leading zeros (0 to 63), one marks a register filled by the second family.
 MANTISSA = 9
 #: Registers that agree by accident are expected from their count of states; the estimate must reach this.
-LEAST_ESTIMATE = 0.5
+LEAST_ESTIMATE = 0.62
 #: Four bits of each register screen pairs inside the join of a bucket with itself: at least so many of the REGISTERS must
 #: agree. At similarity 0.8, 130 do on average, and under 103 in 2 of a hundred million pairs.
 WORDS, SCREEN = REGISTERS // 16, 103
+#: Members of a bucket from which on it is compared in blocks, and members of a block.
+LARGE, BLOCK = 32, 256
 #: Rows of (doc_id) that may be broadcast to pick texts for confirmation; beyond it the texts are joined by a shuffle.
 PICK_ROWS = 1_000_000
 
@@ -212,6 +216,48 @@ def _alike(x: str, y: str):
     return differ <= REGISTERS - SCREEN
 
 
+def _blocks(percent: int):
+    """Confirmed links (a, b) between the two sides of a block pair: side 0 has members outside the bucket's largest
+    component, side 1 all members."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t.column("side").to_numpy()
+        order = np.argsort(side, kind="stable")
+        t, k = t.take(pa.array(order)), int((side == 0).sum())
+        ids, n, comp, minor = (t.column(c).to_numpy() for c in ("id", "n", "component", "minor"))
+        sigs = np.frombuffer(b"".join(t.column("sig").to_pylist()), "<u2").reshape(-1, REGISTERS)
+        band = t.column("band")[0].as_py()
+        items = t.column("items")
+        sets: dict[int, np.ndarray] = {}
+        joined: set[tuple[int, int]] = set()
+        out: list[tuple[int, int]] = []
+
+        def of(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = _unpack(items[i].as_py())
+            return sets[i]
+
+        for i in range(k):
+            ok = (comp[k:] != comp[i]) & (~minor[k:] | (ids[k:] > ids[i]))
+            ok &= 100 * np.minimum(n[k:], n[i]) >= percent * np.maximum(n[k:], n[i])
+            rows = k + np.flatnonzero(ok)
+            same = sigs[rows] == sigs[i]
+            agree = same.mean(axis=1)
+            near = agree >= LEAST_ESTIMATE  # accidental agreement only adds
+            for j, eq in zip(rows[near], same[near]):
+                pair = (comp[i], comp[j])
+                if pair in joined or int(eq.reshape(BANDS, ROWS).all(axis=1).argmax()) != band:
+                    continue
+                x, y = of(i), of(j)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    joined.add(pair)
+                    out.append((int(ids[i]), int(ids[j])))
+        return pa.table({"a": pa.array([min(p) for p in out], pa.int64()), "b": pa.array([max(p) for p in out], pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component): the smallest id reachable over the undirected edges (a, b), for every id of an edge.
 
@@ -249,7 +295,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     members = written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "members")
     reps = written(sigs.where("n > 0").join(members.where("doc_id = rep").select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", "sig", "bits").dropDuplicates(["id"]), "reps")
 
-    bands = reps.select("id", "n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("bucket"))
+    bands = reps.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
     buckets = written(bands.join(hubs, "bucket"), "buckets")  # only buckets of two and more
 
@@ -270,16 +316,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     links = confirmed(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
     first = written(components(links), "components")
     # Members of a bucket in other components than most of the bucket, against the bucket.
-    placed = buckets.join(first, "id", "left").select("bucket", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
+    placed = buckets.join(first, "id", "left").select("bucket", "band", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.component").alias("main"))
+    main = counts.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k"), F.sum("c").alias("members")).where("k > 1").select("bucket", F.col("m.component").alias("main"), (F.col("members") - F.col("m.c")).alias("minors"), "members")
+    several = written(placed.join(main, "bucket").withColumn("minor", F.col("component") != F.col("main")), "mixed")
     screens = reps.select("id", *[F.col("bits")[i].alias(f"s{i}") for i in range(WORDS)])
-    mixed = written(placed.join(main, "bucket").join(screens, "id"), "mixed")
-    x = mixed.where("component <> main").select("bucket", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("component").alias("xc"), "hub", *[F.col(f"s{i}").alias(f"x{i}") for i in range(WORDS)])
+    mixed = several.where(f"members <= {LARGE}").join(screens, "id")
+    x = mixed.where("minor").select("bucket", F.col("id").alias("xi"), F.col("n").alias("xn"), F.col("component").alias("xc"), "hub", *[F.col(f"s{i}").alias(f"x{i}") for i in range(WORDS)])
     y = mixed.select(F.col("bucket").alias("_b"), F.col("id").alias("yi"), F.col("n").alias("yn"), F.col("component").alias("yc"), *[F.col(f"s{i}").alias(f"y{i}") for i in range(WORDS)])
     unlike = F.expr(f"xc <> yc and xi <> hub and yi <> hub and 100 * least(xn, yn) >= {percent} * greatest(xn, yn)")
     more = x.join(y, (F.col("bucket") == F.col("_b")) & unlike & _alike("x", "y"))
     more = confirmed(more.select(F.least("xi", "yi").alias("a"), F.greatest("xi", "yi").alias("b")).distinct())
+    large = several.where(f"members > {LARGE}").join(reps.select("id", "sig"), "id").join(sets, "id").select("bucket", "band", "id", "n", "component", "minor", "sig", "items", F.ceil(F.col("minors") / BLOCK).cast("int").alias("nx"), F.ceil(F.col("members") / BLOCK).cast("int").alias("ny"))
+    part = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    sides = large.where("minor").withColumns({"side": F.lit(0), "bx": part("nx"), "by": every("ny")}).union(large.withColumns({"side": F.lit(1), "bx": every("nx"), "by": part("ny")}))
+    within = sides.drop("nx", "ny").groupBy("bucket", "bx", "by").applyInArrow(_blocks(percent), "a long, b long")
+    more = written(more.union(within), "more")
     final = components(links.union(more)) if not more.isEmpty() else first
     label = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
