@@ -28,8 +28,8 @@ from .common import checksum_bucket
 
 DIMENSIONS = 1024
 ORDERS = (1, 2, 3)
-#: n-gram vectors that a worker keeps, at 1 kB each; over it the store starts anew.
-STORE = 60_000
+#: n-gram vectors that a worker keeps, at 4 kB each; over it the store starts anew.
+STORE = 20_000
 #: Languages that prototypes may hold in the driver and every worker (4 kB each).
 MOST_LANGUAGES = 10_000
 PIECE = 1 << 18
@@ -134,16 +134,26 @@ def text_vector(text: str | None, store: Store) -> np.ndarray | None:
 
 def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     store, sums = Store(), {}
+    held: dict[str, list[np.ndarray]] = {}
+
+    def add(lang: str) -> None:
+        codes = np.concatenate(held.pop(lang))
+        for s in range(0, len(codes), PIECE):
+            keys, weights = ngram_counts(codes[s : s + PIECE])
+            sums[lang] = sums.get(lang, 0) + store.bundle(keys, weights).astype(np.float64) * len(codes[s : s + PIECE])
+
+    size: dict[str, int] = {}
     for b in batches:
-        by: dict[str, list[np.ndarray]] = {}
-        for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
+        for lang, text in zip(b.column(0), b.column(1)):
             if len(codes := letter_codes(text.as_py())):
-                by.setdefault(lang, []).append(codes)
-        for lang, parts in by.items():
-            codes = np.concatenate(parts)
-            for s in range(0, len(codes), PIECE):
-                keys, weights = ngram_counts(codes[s : s + PIECE])
-                sums[lang] = sums.get(lang, 0) + store.bundle(keys, weights).astype(np.float64) * len(codes[s : s + PIECE])
+                lang = lang.as_py()
+                held.setdefault(lang, []).append(codes)
+                size[lang] = size.get(lang, 0) + len(codes)
+                if size[lang] >= PIECE:
+                    add(lang)
+                    size[lang] = 0
+    for lang in list(held):
+        add(lang)
     names = sorted(sums)
     yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([sums[k].tolist() for k in names], pa.list_(pa.float64()))], names=["lang", "v"])
 
