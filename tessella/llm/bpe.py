@@ -19,6 +19,7 @@ none. Columns other than doc_id and text are ignored (:func:`encoded` passes the
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 import re
@@ -33,10 +34,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose encodings a worker keeps (some 250 bytes each), and pairs of tokens; over it a store starts anew.
-STORE = 600_000
+STORE = 1_000_000
 PAIRS = 1_000_000
 #: Characters whose words are encoded together.
-CHUNK = 4_000_000
+CHUNK = 2_000_000
 
 
 def byte_letters() -> list[str]:
@@ -305,7 +306,9 @@ class Codec:
 
 @lru_cache(4)
 def codec(definition: str, engine: str = "trie") -> Codec:
-    """One per worker, kept from task to task."""
+    """One per worker, kept from task to task. Its stores hold millions of tuples and no cycles, so the worker's collector,
+    which would walk them again and again, is switched off."""
+    gc.disable()
     return Codec(definition, engine)
 
 
