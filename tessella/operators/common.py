@@ -25,20 +25,20 @@ def by_frame(px: DataFrame) -> DataFrame:
 
 
 def scattered(px: DataFrame, offsets: list[tuple[int, int]], values: list[str]) -> DataFrame:
-    """Each pixel's values sent to itself (k = -1) and to the pixel at each offset (k: the offset's number), so that what
+    """Each pixel's values sent to itself (_k = -1) and to the pixel at each offset (_k: the offset's number), so that what
     arrives at (frame, x, y) are the pixel and its neighbours. The offset leads from the receiver to the sender."""
     places = [F.struct(F.lit(-1).alias("k"), C("x").alias("tx"), C("y").alias("ty"))]
     places += [F.struct(F.lit(k).alias("k"), (C("x") - dx).alias("tx"), (C("y") - dy).alias("ty")) for k, (dx, dy) in enumerate(offsets)]
-    return by_frame(px.select("frame", "x", "y", *values)).select("frame", F.explode(F.array(*places)).alias("p"), *values).select("frame", C("p.tx").alias("x"), C("p.ty").alias("y"), C("p.k").alias("k"), *values)
+    return by_frame(px.select("frame", "x", "y", *values)).select("frame", F.explode(F.array(*places)).alias("_to"), *values).select("frame", C("_to.tx").alias("x"), C("_to.ty").alias("y"), C("_to.k").alias("_k"), *values)
 
 
 def neighbours(px: DataFrame, offsets: list[tuple[int, int]], values: list[str]) -> DataFrame:
     """frame, x, y, the pixel's values, and ``nb``: an array of structs (k, values) of the neighbours that exist, by k. At most
     as many as there are offsets."""
     s = scattered(px, offsets, values)
-    own = [F.max(F.when(C("k") == -1, C(v))).alias(v) for v in values]
-    nb = F.array_sort(F.collect_list(F.when(C("k") >= 0, F.struct("k", *values)))).alias("nb")
-    return s.groupBy("frame", "x", "y").agg(F.max(F.when(C("k") == -1, 1)).alias("_here"), *own, nb).where("_here = 1").drop("_here")
+    own = [F.max(F.when(C("_k") == -1, C(v))).alias(v) for v in values]
+    nb = F.array_sort(F.collect_list(F.when(C("_k") >= 0, F.struct(C("_k").alias("k"), *values)))).alias("nb")
+    return s.groupBy("frame", "x", "y").agg(F.max(F.when(C("_k") == -1, 1)).alias("_here"), *own, nb).where("_here = 1").drop("_here")
 
 
 def shifted(px: DataFrame, dx: Column | int, dy: Column | int) -> DataFrame:

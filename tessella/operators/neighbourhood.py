@@ -53,8 +53,9 @@ def specks(px: DataFrame, crowd: int = 6, reach: int = 24) -> DataFrame:
     n = _surrounded(px, NB8)
     colours = F.transform("nb", lambda q: F.struct(*[q[c].alias(c) for c in RGB]))
     near = F.exists("nb", lambda q: P.dist2((C("r"), C("g"), C("b")), (q["r"], q["g"], q["b"])) <= reach * reach)
-    hit, m = P.opaque() & (F.size("nb") >= crowd) & ~near, _mode(colours)
-    return n.select("frame", "x", "y", *[F.when(hit, m[c]).otherwise(C(c)).alias(c) for c in RGB], "a", hit.alias("changed"))
+    # columns of their own: beside an alias r, a lambda's r would mean that alias
+    n = n.withColumn("changed", P.opaque() & (F.size("nb") >= crowd) & ~near).withColumn("_m", _mode(colours))
+    return n.select("frame", "x", "y", *[F.when(C("changed"), C(f"_m.{c}")).otherwise(C(c)).alias(c) for c in RGB], "a", "changed")
 
 
 def moved(mask: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:

@@ -138,7 +138,7 @@ def same(spark, d):
     return j.select("frame", "x", "y", P.same_stock(rgb(), C("a"), rgb("q"), C("qa")).alias("stock"), P.close_colour(rgb(), C("a"), rgb("q"), C("qa")).alias("close"))
 
 
-_HUE = """CASE WHEN hi = lo THEN 0.0::DOUBLE WHEN hi = r THEN ((((g - b)::DOUBLE / (hi - lo)) % 6) + 6) % 6 WHEN hi = g THEN (b - r)::DOUBLE / (hi - lo) + 2 ELSE (r - g)::DOUBLE / (hi - lo) + 4 END * 60"""
+_HUE = """CASE WHEN hi = lo THEN 0.0::DOUBLE WHEN hi = r THEN (g - b)::DOUBLE / (hi - lo) + CASE WHEN g < b THEN 6 ELSE 0 END WHEN hi = g THEN (b - r)::DOUBLE / (hi - lo) + 2 ELSE (r - g)::DOUBLE / (hi - lo) + 4 END * 60"""
 _HLS = f"""hl AS (SELECT *, {_HUE} AS h, (hi / 255.0::DOUBLE + lo / 255.0::DOUBLE) / 2 AS l FROM (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM px)),
 hls AS (SELECT *, CASE WHEN hi = lo THEN 0.0 WHEN l <= 0.5 THEN (hi / 255.0::DOUBLE - lo / 255.0::DOUBLE) / (hi / 255.0::DOUBLE + lo / 255.0::DOUBLE) ELSE (hi / 255.0::DOUBLE - lo / 255.0::DOUBLE) / (2.0::DOUBLE - hi / 255.0::DOUBLE - lo / 255.0::DOUBLE) END AS s,
   CASE WHEN hi = 0 THEN 0.0 ELSE (hi - lo)::DOUBLE / hi END AS sv, hi / 255.0::DOUBLE AS v FROM hl)"""

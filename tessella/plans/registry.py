@@ -22,4 +22,4 @@ def oracle_sql() -> dict[str, str]:
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sheet of enlarged frames voted back to pixels."""
-    return queries()["j01_nearest_colour"](spark, sf_dir)
+    return queries()["a01_block_vote"](spark, sf_dir)
