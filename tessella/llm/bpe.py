@@ -23,7 +23,8 @@ import gc
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Iterator
+import struct
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from functools import lru_cache
 from itertools import chain
 
@@ -33,9 +34,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words whose encodings a worker keeps (some 250 bytes each), and pairs of tokens; over it a store starts anew.
+#: Words whose encodings a worker keeps (some 150 bytes each), and pairs of tokens; over it a store starts anew.
 STORE = 1_000_000
-PAIRS = 1_000_000
+PAIRS = 500_000
 #: Characters whose words are encoded together.
 CHUNK = 2_000_000
 
@@ -67,7 +68,7 @@ class Trie:
             self.parts.setdefault(z, (x, y, r))
         self.left: dict[int, list[tuple[int, float]]] = {}
         self.right: dict[int, list[tuple[int, float]]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
         # The automaton of all tokens: a state is the longest end of the path that begins a token.
         self.nodes = {"": 0}
@@ -104,7 +105,7 @@ class Trie:
 
     def may_follow(self, s: int, t: int) -> bool:
         """No merge crosses the border between s and t."""
-        if (known := self.pairs.get((s, t))) is not None:
+        if (known := self.pairs.get(s << 32 | t)) is not None:
             return known
         left, right = self._edge(s, 1, self.right), self._edge(t, 0, self.left)
         i = j = 0
@@ -123,7 +124,7 @@ class Trie:
                 j += 1
         if len(self.pairs) >= PAIRS:
             self.pairs.clear()
-        self.pairs[s, t] = ok
+        self.pairs[s << 32 | t] = ok
         return ok
 
     def is_whole(self, t: int) -> bool:
@@ -173,7 +174,7 @@ class Trie:
                     if length == end:
                         break
                     if (s := last[end - length]) >= 0:
-                        if (ok := known.get((s, t))) is None:
+                        if (ok := known.get(s << 32 | t)) is None:
                             ok = follow(s, t)
                         if ok:
                             break
@@ -218,8 +219,11 @@ class Codec:
             self.bytes[i] = t.encode()
         self.names = [str(i) for i in range(size)]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.store: dict[str, tuple[int, ...] | None] = {}  # by piece
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.kind = f"<u{self.width}"
+        self.store: dict[str, bytes | None] = {}  # raw ids by piece
+
+    def _raw(self, ids: Sequence[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
 
     def _words(self, text: str) -> list[str]:
         """The pre-tokenizer's words, in byte letters."""
@@ -232,7 +236,6 @@ class Codec:
         pieces = {p for p in pieces if p not in self.store}
         if len(self.store) + len(pieces) > STORE:
             self.store.clear()
-            self.words.clear()
         texts: dict[str, str] = {}
         for p in pieces:
             # "\nword" follows a line end, "\0word" starts a text, and any other piece follows a blank
@@ -242,18 +245,18 @@ class Codec:
             else:
                 texts[p] = p if p[0] == "\n" else body if p[0] == "\0" else " " + p
         if self.trie:
-            words, ids = {p: self._words(t) for p, t in texts.items()}, self.words
-            ids.update(self.trie.encode({w for ws in words.values() for w in ws if w not in ids}))
-            self.store |= {p: ids[ws[0]] if len(ws) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, ws))) for p, ws in words.items()}
+            words = {p: self._words(t) for p, t in texts.items()}
+            ids = {w: self._raw(v) for w, v in self.trie.encode({w for ws in words.values() for w in ws}).items()}
+            self.store |= {p: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for p, ws in words.items()}
         else:
             keys = list(texts)
             for s in range(0, len(keys), 2000):
                 for p, e in zip(keys[s : s + 2000], self.tokenizer.encode_batch_fast([texts[p] for p in keys[s : s + 2000]], add_special_tokens=False)):
-                    self.store[p] = tuple(e.ids)
+                    self.store[p] = self._raw(e.ids)
 
-    def _slow(self, text: str) -> list[int]:
+    def _slow(self, text: str) -> np.ndarray:
         if not self.trie:
-            return self.tokenizer.encode(text, add_special_tokens=False).ids
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
         out: list[int] = []
         for i, part in enumerate(self.split.split(text) if self.split else [text]):
             if i % 2:
@@ -262,9 +265,9 @@ class Codec:
                 words = self._words(part)
                 ids = self.trie.encode(set(words))
                 out.extend(chain.from_iterable(ids[w] for w in words))
-        return out
+        return np.array(out, self.kind)
 
-    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         chunk: list[str] = []
         size = 0
@@ -276,7 +279,7 @@ class Codec:
                 chunk, size = [], 0
         yield from self._encoded(chunk)
 
-    def _encoded(self, texts: list[str]) -> Iterator[list[int]]:
+    def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
         cut: list[list[str] | None] = []
         new: set[str] = set()
         for t in texts:
@@ -292,10 +295,10 @@ class Codec:
         get = self.store.__getitem__
         for t, pieces in zip(texts, cut):
             if pieces is None:
-                yield self._slow(t) if t else []
+                yield self._slow(t) if t else np.empty(0, self.kind)
                 continue
             try:
-                yield list(chain.from_iterable(map(get, pieces)))
+                yield np.frombuffer(b"".join(map(get, pieces)), self.kind)
             except (TypeError, KeyError):  # white space that only the pre-tokenizer can split
                 yield self._slow(t)
 
@@ -312,12 +315,19 @@ def codec(definition: str, engine: str = "trie") -> Codec:
     return Codec(definition, engine)
 
 
+def release() -> None:
+    """Gives a worker's codecs back: other operators' tasks follow in the same process."""
+    codec.cache_clear()
+    gc.enable()
+    gc.collect()
+
+
 def definition(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
 
 
-def _digests(text: str, fill: Callable[[Codec, list[int]], tuple]) -> Callable:
+def _digests(text: str, fill: Callable[[Codec, np.ndarray], tuple]) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(text)
         for b in batches:
@@ -327,7 +337,8 @@ def _digests(text: str, fill: Callable[[Codec, list[int]], tuple]) -> Callable:
     return run
 
 
-def _digest(c: Codec, ids: list[int]) -> tuple[int, str, str]:
+def _digest(c: Codec, raw: np.ndarray) -> tuple[int, str, str]:
+    ids = raw.tolist()
     return len(ids), hashlib.sha256(",".join(map(c.names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(c.decode_bytes(ids)).hexdigest()
 
 
@@ -339,7 +350,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
-    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name."""
+    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name. A task gives its stores back at its end."""
     text, cols = definition(path), [c for c in docs.columns if c != "ids"]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = cols.index("text")
@@ -349,8 +360,10 @@ def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 p = b.slice(s, 500)
-                ids = [np.array(x, np.int32) for x in c.encode_batch(t.as_py() for t in p.column(at))]
+                ids = [x.astype(np.int32) for x in c.encode_batch(t.as_py() for t in p.column(at))]
                 yield pa.RecordBatch.from_arrays([*p.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*p.schema.names, "ids"])
+        del c
+        release()
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
     return plain.mapInArrow(run, f"{ddl}, ids array<int>").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "ids")
