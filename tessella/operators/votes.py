@@ -83,9 +83,9 @@ def vote_fractional(sheet: DataFrame, grids: DataFrame, scale: int, palette: Dat
     p = _candidates(p, palette, bg, keyed, metric)
 
     def axis(c: Column, origin: Column) -> tuple[Column, Column]:
-        u = (c - origin) / C("_b.block")
-        k = F.floor(u).cast("int")
-        return k, F.greatest(F.lit(1.0), (scale - 1) - F.abs(2 * (u - k) - 1) * scale / 2)
+        k = F.floor((c - origin) / C("_b.block")).cast("int")
+        t = (c - (origin + k * C("_b.block"))) / C("_b.block")
+        return k, F.greatest(F.lit(1.0), (scale - 1) - F.abs(2 * t - 1) * scale / 2)
 
     (i, wi), (j, wj) = axis(cx, C("_b.gx")), axis(cy, C("_b.gy"))
     s = p.select(C("_b.ord").alias("frame"), i.alias("i"), j.alias("j"), "c", (wi * wj).alias("w"), (C("y").cast("bigint") * 1_000_000 + C("x")).alias("at"))

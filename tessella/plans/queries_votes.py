@@ -74,7 +74,7 @@ def tally(spark, d):
   FROM (SELECT s.frame, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM (SELECT DISTINCT frame FROM sheet) s CROSS JOIN (SELECT unnest(generate_series(0, 13)) AS i) CROSS JOIN (SELECT unnest(generate_series(0, 13)) AS j)) g
   LEFT JOIN (SELECT frame, i, j, sum(w) AS total, coalesce(sum(w) FILTER (c IS NULL), 0) AS bgw, count(c) AS n FROM fper GROUP BY ALL) b USING (frame, i, j)
   LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY frame, i, j ORDER BY w DESC, pos DESC) AS k FROM fper WHERE c IS NOT NULL) WHERE k = 1) t USING (frame, i, j)""", X.PX_SQL, X.FLAT_SQL, SHEET_SQL, X.PALETTE_SQL, near_sql("sheet"),
-  f"""fcand AS (SELECT frame, floor(u)::INT AS i, floor(v)::INT AS j, greatest(1.0, 3 - abs(2 * (u - floor(u)) - 1) * 2) * greatest(1.0, 3 - abs(2 * (v - floor(v)) - 1) * 2) AS w, y * 1000000 + x AS pos, CASE WHEN a < 128 OR {BGD} <= 144 OR {BGD} < d THEN NULL ELSE pr * 65536 + pg * 256 + pb END AS c
+  f"""fcand AS (SELECT frame, floor(u)::INT AS i, floor(v)::INT AS j, greatest(1.0, 3 - abs(2 * ((x + 0.5 - (1.25::DOUBLE + floor(u) * 4.375::DOUBLE)) / 4.375::DOUBLE) - 1) * 4 / 2) * greatest(1.0, 3 - abs(2 * ((y + 0.5 - (0.75::DOUBLE + floor(v) * 4.375::DOUBLE)) / 4.375::DOUBLE) - 1) * 4 / 2) AS w, y * 1000000 + x AS pos, CASE WHEN a < 128 OR {BGD} <= 144 OR {BGD} < d THEN NULL ELSE pr * 65536 + pg * 256 + pb END AS c
   FROM (SELECT *, (x + 0.5 - 1.25)::DOUBLE / 4.375::DOUBLE AS u, (y + 0.5 - 0.75)::DOUBLE / 4.375::DOUBLE AS v FROM near) WHERE u >= 0 AND u < 14 AND v >= 0 AND v < 14)""", "fper AS (SELECT frame, i, j, c, sum(w) AS w, min(pos) AS pos FROM fcand GROUP BY ALL)")
 def fractional(spark, d):
     s = sheet(spark, d)

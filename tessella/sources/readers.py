@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import pixels as P
 from . import containers, images, seal
@@ -125,12 +126,12 @@ def archives(binary: DataFrame, only: str | None = None) -> DataFrame:
     return binary.select("path", "content").mapInPandas(_archives(only), "archive string, name string, base string, size bigint, compressed boolean, content binary")
 
 
-@F.udf("string")
+@F.udf(T.StringType())
 def sealed_name(header: bytes | None) -> str | None:
     """The name in a 64-byte header. One call per file."""
     return seal.name_of(bytes(header)) if header is not None else None
 
 
-@F.udf("binary")
+@F.udf(T.BinaryType())
 def with_name(header: bytes | None, name: str | None) -> bytes | None:
     return seal.renamed(bytes(header or b""), name) if name is not None else None
