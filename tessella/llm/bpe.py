@@ -19,6 +19,8 @@ none. Columns other than doc_id and text are ignored (:func:`encoded` passes the
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import hashlib
 import json
@@ -39,6 +41,8 @@ STORE = 1_000_000
 PAIRS = 500_000
 #: Characters whose words are encoded together.
 CHUNK = 2_000_000
+#: A lean worker's share of both, for tasks that share executors with other operators' workers.
+LEAN = 5
 
 
 def byte_letters() -> list[str]:
@@ -193,17 +197,19 @@ class Trie:
 
 class Codec:
     """Encodes and decodes texts by a tokenizer's definition. ``engine``: "trie", or "library" for the words that are not
-    in the store."""
+    in the store; ``lean`` keeps fewer."""
 
-    def __init__(self, definition: str, engine: str = "trie") -> None:
-        from tokenizers import Tokenizer
+    def __init__(self, definition: str, engine: str = "trie", lean: bool = False) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
 
         d = json.loads(definition)
-        self.tokenizer = Tokenizer.from_str(definition)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+        if engine == "library":
+            self.tokenizer = Tokenizer.from_str(definition)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
         if d["model"]["type"] != "BPE" or d.get("normalizer") or (d.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or d["pre_tokenizer"].get("add_prefix_space"):
             raise ValueError("a byte-level BPE without normaliser and prefix space is needed")
+        self.cut = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=d["pre_tokenizer"].get("use_regex", True)).pre_tokenize_str
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in d["model"]["merges"]]
         self.trie = Trie(d["model"]["vocab"], merges) if engine == "trie" else None
         self.letters = byte_letters()
@@ -219,7 +225,7 @@ class Codec:
             self.bytes[i] = t.encode()
         self.names = [str(i) for i in range(size)]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
-        self.kind = f"<u{self.width}"
+        self.kind, self.share = f"<u{self.width}", LEAN if lean else 1
         self.store: dict[str, bytes | None] = {}  # raw ids by piece
 
     def _raw(self, ids: Sequence[int]) -> bytes:
@@ -229,12 +235,12 @@ class Codec:
         """The pre-tokenizer's words, in byte letters."""
         if max(text) < "\u0250":  # Latin, where all editions of Unicode agree on what is a letter
             return [w.encode().decode("latin-1").translate(self.letters_of) for w in _WORDS.findall(text)]
-        return [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        return [w for w, _ in self.cut(text)]
 
     def _learn(self, pieces: set[str]) -> None:
         """Puts the encodings of pieces into the store; None for a piece with white space at an end."""
         pieces = {p for p in pieces if p not in self.store}
-        if len(self.store) + len(pieces) > STORE:
+        if len(self.store) + len(pieces) > STORE // self.share:
             self.store.clear()
         texts: dict[str, str] = {}
         for p in pieces:
@@ -274,7 +280,7 @@ class Codec:
         for t in texts:
             chunk.append(t or "")
             size += len(chunk[-1])
-            if size > CHUNK:
+            if size > CHUNK // self.share:
                 yield from self._encoded(chunk)
                 chunk, size = [], 0
         yield from self._encoded(chunk)
@@ -308,11 +314,11 @@ class Codec:
 
 
 @lru_cache(4)
-def codec(definition: str, engine: str = "trie") -> Codec:
+def codec(definition: str, engine: str = "trie", lean: bool = False) -> Codec:
     """One per worker, kept from task to task. Its stores hold millions of tuples and no cycles, so the worker's collector,
     which would walk them again and again, is switched off."""
     gc.disable()
-    return Codec(definition, engine)
+    return Codec(definition, engine, lean)
 
 
 def release() -> None:
@@ -320,6 +326,8 @@ def release() -> None:
     codec.cache_clear()
     gc.enable()
     gc.collect()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def definition(path: str) -> str:
@@ -350,13 +358,14 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
 
 
 def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
-    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name. A task gives its stores back at its end."""
+    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name. A task keeps small stores
+    and gives them back at its end."""
     text, cols = definition(path), [c for c in docs.columns if c != "ids"]
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = cols.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(text, engine)
+        c = codec(text, engine, lean=True)
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 p = b.slice(s, 500)
