@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
-from ..operators import alignment, animations, layout, masks, pipelines, palette_ops
+from ..operators import alignment, animations, layout, masks, palette_ops, pipelines, samples
 from ..operators.common import C, RGB, RGBA
 from . import fixtures as X
 from .queries_pixels import CROPS_SQL, MASK_SQL, _crops, _mask, near_sql
@@ -340,3 +340,52 @@ def smooth(spark, d):
     p = X.flat(X.px(spark, d)).where("frame < 12")
     s = X.steps(spark, d).where("anim < 3").select("anim", "step", "frame", "x", "y", "z", "last")
     return pipelines.smooth(p, X.alt(p), layout.boxes(p), s)
+
+
+# Samples ----------------------------------------------------------------------------------------------------------------
+_EDGE = "edge AS (SELECT DISTINCT m.frame, m.x, m.y FROM fg m CROSS JOIN (VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dx, dy) LEFT JOIN fg q ON q.frame = m.frame AND q.x = m.x + o.dx AND q.y = m.y + o.dy WHERE q.frame IS NULL)"
+
+
+def _foam(c, v):
+    return f"CASE WHEN e.frame IS NOT NULL AND a >= 128 THEN round_even({c} + ({v} - {c}) * (0.45::DOUBLE + 0.35::DOUBLE * greatest(r, g, b) / 255.0::DOUBLE), 0)::INT ELSE {c} END AS {c}"
+
+
+@query("p16_foam_rim", f"SELECT p.frame, p.x, p.y, {_foam('r', 235)}, {_foam('g', 248)}, {_foam('b', 255)}, a FROM px p LEFT JOIN edge e USING (frame, x, y)", X.PX_SQL, X.FG_SQL, _EDGE)
+def foam_rim(spark, d):
+    p = X.px(spark, d)
+    return samples.foam_rim(p, X.fg(p))
+
+
+@query("g17_foam_droplets", None)
+def droplets(spark, d):
+    return samples.droplets(X.fg(X.px(spark, d)), 7)
+
+
+@query("j19_keep_effects", """SELECT p.frame, p.x, p.y, coalesce(s.r, p.r) AS r, coalesce(s.g, p.g) AS g, coalesce(s.b, p.b) AS b, coalesce(s.a, p.a) AS a FROM alt p LEFT JOIN (
+  SELECT DISTINCT h.* FROM hit h JOIN hit q ON q.frame = h.frame AND abs(q.x - h.x) + abs(q.y - h.y) = 1) s USING (frame, x, y)""", X.PX_SQL, X.ALT_SQL, "hit AS (SELECT * FROM px WHERE a >= 128 AND b >= 128)")
+def keep_effects(spark, d):
+    p = X.px(spark, d)
+    return samples.keep_effects(X.alt(p), p, C("s_b") >= 128)
+
+
+@query("j19_backfill", """SELECT p.frame, p.x, p.y, CASE WHEN h THEN s.r ELSE p.r END AS r, CASE WHEN h THEN s.g ELSE p.g END AS g, CASE WHEN h THEN s.b ELSE p.b END AS b, CASE WHEN h THEN s.a ELSE p.a END AS a FROM (
+  SELECT p.*, p.a < 128 AND (SELECT count(*) FROM alt q WHERE q.frame = p.frame AND abs(q.x - p.x) <= 1 AND abs(q.y - p.y) <= 1 AND (q.x <> p.x OR q.y <> p.y) AND q.a >= 128) >= 3 AND s.a >= 128 AS h FROM alt p JOIN px s USING (frame, x, y)) p JOIN px s USING (frame, x, y)""", X.PX_SQL, X.ALT_SQL)
+def backfill(spark, d):
+    p = X.px(spark, d)
+    return samples.backfill(X.alt(p), p)
+
+
+@query("c07_drop_scraps", None)
+def scraps(spark, d):
+    return samples.without_scraps(X.flat(X.px(spark, d)), [(0, 0, 0), (192, 96, 128)], 4)
+
+
+@query("c06_figures", None)
+def figures(spark, d):
+    p = X.px(spark, d)
+    return samples.figure(p.where("frame < 8 and x between 7 and 8 and y between 7 and 8"), p.where("frame < 8 and r < 60"), 1)
+
+
+@query("g15_chest_rows", None)
+def chest_rows(spark, d):
+    return samples.chest_rows(X.fg(X.px(spark, d)), 2, 2)

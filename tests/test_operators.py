@@ -6,7 +6,7 @@ from conftest import picture, px_of
 from pyspark.sql import functions as F
 
 from tessella.functions import palettes, pixels as P
-from tessella.operators import alignment, animations, components, layout, masks, neighbourhood as nh, palette_ops, pipelines, votes
+from tessella.operators import alignment, animations, components, layout, masks, neighbourhood as nh, palette_ops, pipelines, samples, votes
 
 RED, GREY, BLUE = (200, 30, 30), (100, 100, 100), (10, 10, 200)
 K = {"r": RED, "g": GREY, "b": BLUE}
@@ -315,3 +315,16 @@ def test_empty_tables(spark):
     pal = palettes.table(spark, [RED])
     assert palette_ops.nearest(e, pal).count() == 0 and nh.despeckle(e).count() == 0 and layout.fit(e, 8, 8).count() == 0
     assert components.components(e).count() == 0 and votes.edge_positions(e).count() == 0
+
+
+def test_samples(spark):
+    p = px_of(spark, picture("rr...b rr...b ...... ..rr.. ..rr.. ......", K))
+    red, blue = p.where("r = 200 and a > 0"), p.where("b = 200 and a > 0")
+    corner = red.where("x < 2 and y < 2")
+    assert samples.figure(corner, red, 2).count() == 8 and samples.figure(corner, red, 1).count() == 4 and samples.figure(corner, blue, 1).count() == 4
+    assert samples.figure(corner, red.unionByName(blue), 3).count() == 10
+    assert samples.without_scraps(p, [BLUE]).where("a > 0").count() == 8
+    r = samples.chest_rows(red, 2, 1).first()
+    assert (r["y0"], r["y1"], r["x0"], r["x1"]) == (0, 1, 0, 1)
+    a, b = (rows(samples.droplets(red, s), "x", "y") for s in (1, 1))
+    assert a == b
