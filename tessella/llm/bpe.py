@@ -19,8 +19,6 @@ none. Columns other than doc_id and text are ignored (:func:`encoded` passes the
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 import gc
 import hashlib
 import json
@@ -36,6 +34,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow, trimmed
+
 #: Words whose encodings a worker keeps (some 150 bytes each), and pairs of tokens; over it a store starts anew.
 STORE = 1_000_000
 PAIRS = 500_000
@@ -326,8 +326,7 @@ def release() -> None:
     codec.cache_clear()
     gc.enable()
     gc.collect()
-    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
-        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    trimmed()
 
 
 def definition(path: str) -> str:
@@ -354,7 +353,7 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids joined by commas), decoded_sha256 (of the text decoded from the
     ids): one row per document."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_digests(definition(path), _digest), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(src, _digests(definition(path), _digest), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
@@ -375,4 +374,4 @@ def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
         release()
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    return plain.mapInArrow(run, f"{ddl}, ids array<int>").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "ids")
+    return in_arrow(plain, run, f"{ddl}, ids array<int>").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "ids")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import math
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows up to which a side of longs or short structs is broadcast. At about 100 bytes a row, 20 MB.
 BROADCAST_ROWS = 200_000
+#: Bytes of an Arrow batch of texts.
+BATCH = 4 << 20
+_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,6 +64,28 @@ def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) ->
     return F.broadcast(df) if n <= most else df
 
 
+def trimmed() -> None:
+    """Gives memory that this worker no longer uses back to the machine: other operators' tasks follow in the same process."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def in_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` for texts: batches are of BATCH bytes at most (for the session, from here on), as ten thousand texts and
+    their copies on both sides would fill an executor, and a task trims its worker's memory at its end."""
+    conf = df.sparkSession.conf
+    now = str(conf.get(_BYTES))
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH:
+        conf.set(_BYTES, f"{BATCH}b")
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        trimmed()
+
+    return df.mapInArrow(tidy, schema)
+
+
 def checksum_bucket(key: Column, modulus: int) -> Column:
     """crc32 of the key as text, modulo: the folds of learners."""
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
@@ -66,7 +95,7 @@ def block_starts(df: DataFrame, key: str, blocks: int) -> list[int]:
     """Up to ``blocks`` ascending values of ``key`` that cut it into ranges of about equal row counts. The first is the
     least value. A mergeable quantile sketch over all rows; empty without keys."""
     parts = [i / blocks for i in range(1, blocks)] or [0.5]
-    row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, parts, 20_000).alias("cuts")).first()
+    row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, parts, max(20_000, 10 * blocks)).alias("cuts")).first()
     if row is None or row["least"] is None:
         return []
     return sorted({row["least"], *row["cuts"]})
@@ -76,6 +105,10 @@ def block_of(key: Column, starts: Sequence[int]) -> Column:
     """The number of the range that holds ``key`` (0 for null keys and those under the first start)."""
     if len(starts) < 2:
         return F.lit(0)
-    cuts = F.array(*[F.lit(int(s)) for s in starts[1:]])
-    # Ranges are few, so a scan of a constant array costs less than a join.
-    return F.coalesce(F.size(F.filter(cuts, lambda c: c <= key)), F.lit(0))
+    cuts = [int(s) for s in starts[1:]]
+    step = math.isqrt(len(cuts) - 1) + 1
+    array = lambda v: F.array(*[F.lit(x) for x in v]).cast("array<bigint>")
+    below = lambda a: F.size(F.filter(a, lambda c: c <= key))
+    # Two steps over constant arrays, about the square root of the ranges each: no join for a few thousand ranges.
+    coarse = below(array(cuts[step - 1 :: step]))
+    return F.when(key.isNull(), 0).otherwise(coarse * step + below(F.slice(array(cuts), coarse * step + 1, F.lit(step)))).cast("int")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checksum_bucket
+from .common import checksum_bucket, in_arrow
 
 DIMENSIONS = 1024
 ORDERS = (1, 2, 3)
@@ -160,7 +160,7 @@ def _learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def prototypes(docs: DataFrame) -> dict[str, np.ndarray]:
     """A vector of length 1 for each non-null lang of ``docs`` (columns lang and text)."""
-    parts = docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).mapInArrow(_learn, "lang string, v array<double>")
+    parts = in_arrow(docs.where("lang is not null and text is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")), _learn, "lang string, v array<double>")
     # Rounded before they are added, so that the order in which tasks arrive does not matter.
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum(F.round("x", 3).cast("decimal(30,3)")).cast("double").alias("x"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).limit(MOST_LANGUAGES + 1).collect()
@@ -197,7 +197,7 @@ def _predict(model: dict[str, np.ndarray], at: int, keep: bool):
 def identified(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
     """doc_id, lang_pred, score: one row per document."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_predict(model, 1, False), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
+    return in_arrow(src, _predict(model, 1, False), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double")
 
 
 def held_out(key: str = "doc_id"):
@@ -210,7 +210,7 @@ def filtered(docs: DataFrame, least: float) -> DataFrame:
     model = prototypes(docs.where(~held_out()))
     plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)])
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
-    out = plain.mapInArrow(_predict(model, docs.columns.index("text"), True), f"{ddl}, lang_pred string, score double")
+    out = in_arrow(plain, _predict(model, docs.columns.index("text"), True), f"{ddl}, lang_pred string, score double")
     return out.where(f"lang_pred <> 'und' and score >= {least}").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 

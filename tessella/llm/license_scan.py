@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 LEAST_DICE = 0.8
 _WORDS = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -111,4 +113,4 @@ def scanned(docs: DataFrame, templates: dict[str, list[str]] | None = None, leas
             )
 
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, license string, dice double, n_licenses int, licenses string")
+    return in_arrow(src, run, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, license string, dice double, n_licenses int, licenses string")

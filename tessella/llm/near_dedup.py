@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import removed, small, written
+from .common import in_arrow, removed, small, written
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -133,7 +133,7 @@ def _signatures(width: int):
 
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
     """doc_id, n (set size), digest (of the set), sig (registers) and bits (four of each register) of every document, in one pass over the texts."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_signatures(width), "doc_id long, n long, digest binary, sig binary, bits array<long>")
+    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _signatures(width), "doc_id long, n long, digest binary, sig binary, bits array<long>")
 
 
 def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -301,15 +301,15 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
     involved = buckets.select("id").distinct()
     picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small(involved, most=PICK_ROWS), "id", "left_semi")
-    sets = written(picked.mapInArrow(_sets(width), "id long, items binary"), "sets")
+    sets = written(in_arrow(picked, _sets(width), "id long, items binary"), "sets")
     sizes, close = reps.select("id", "n", "sig"), f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of distinct pairs (a, b), those that pass the size bound, the estimate and the full sets."""
         p = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b")), "b")
-        p = written(p.where(close).select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_estimates, "a long, b long"), "likely")
+        p = written(in_arrow(p.where(close).select("a", "b", "n_a", "n_b", "sig_a", "sig_b"), _estimates, "a long, b long"), "likely")
         q = p.join(sets.select(F.col("id").alias("b"), F.col("items").alias("items_b")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("items_a")), "a")
-        out = written(q.select("a", "b", "items_a", "items_b").mapInArrow(_confirm(percent), "a long, b long"), "links")
+        out = written(in_arrow(q.select("a", "b", "items_a", "items_b"), _confirm(percent), "a long, b long"), "links")
         removed(spark, p)
         return out
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checksum_bucket, small, written
+from .common import checksum_bucket, in_arrow, small, written
 from .quality_rules import text_stats
 
 FEATURES = ("words", "word_length", "symbols", "repeats", "dup_lines", "upper", "bangs", "distinct", "digits", "stops", "pipes", "commas", "longest_run", "short_words")
@@ -60,7 +60,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, x: the features of every document."""
     src = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(_features, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, x array<double>")
+    return in_arrow(src, _features, f"doc_id {src.schema['doc_id'].dataType.simpleString()}, x array<double>")
 
 
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

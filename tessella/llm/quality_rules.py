@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small, written
+from .common import in_arrow, small, written
 
 LEAST_WORDS, MOST_REPEATED, LEAST_GROUP, REACH = 50, 50, 100, 6
 #: measure: (numerator, denominator, factor, floor of the upper threshold, whether a lower threshold holds too)
@@ -88,7 +88,7 @@ def _ddl(df: DataFrame) -> str:
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, _lang, _source and the STATS (prefixed ``_``) of every document, then base_failed."""
     src = docs.select("doc_id", F.col("lang").cast("string").alias("_lang"), F.col("source").cast("string").alias("_source"), F.col("text").cast("string").alias("_text"))
-    out = src.mapInArrow(_run, _ddl(src.drop("_text")) + "".join(f", _{s} long" for s in STATS))
+    out = in_arrow(src, _run, _ddl(src.drop("_text")) + "".join(f", _{s} long" for s in STATS))
     return out.withColumn("base_failed", (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n_words")))
 
 
@@ -162,7 +162,7 @@ def filtered(docs: DataFrame) -> DataFrame:
             rows = [text_stats(t.as_py()) for t in b.column(at)]
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(STATS)))], names=[*b.schema.names, *(f"_{s}" for s in STATS)])
 
-    stats = plain.mapInArrow(run, _ddl(plain) + "".join(f", _{s} long" for s in STATS))
+    stats = in_arrow(plain, run, _ddl(plain) + "".join(f", _{s} long" for s in STATS))
     stats = stats.withColumn("base_failed", (F.col("_n_words") < LEAST_WORDS) | (100 * F.col("_n_repeat_words") > MOST_REPEATED * F.col("_n_words")))
     return _joined(stats, limits).where("kept").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import definition
-from .common import block_of, block_starts, new_path, written
+from .common import block_of, block_starts, in_arrow, new_path, written
 
 MAGIC, HEAD = b"TOKSHRD1", struct.Struct("<8sIIIIIQ")
 #: Documents a shard should hold at most, and keys a bucket should hold on average.
@@ -208,9 +208,9 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int | Non
     shards = max(1, -(-rows // SHARD_DOCS), min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 200)))
     starts = block_starts(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", shards)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = src.mapInArrow(_encode(text, end_id, width), "doc_id long, ids binary").select(block_of(F.col("doc_id"), starts).cast("int").alias("shard"), "doc_id", "ids")
+    ids = in_arrow(src, _encode(text, end_id, width), "doc_id long, ids binary").select(block_of(F.col("doc_id"), starts).cast("int").alias("shard"), "doc_id", "ids")
     dealt = ids.repartition(shards, "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
-    made = written(dealt.mapInArrow(_writer(folder, width), "shard int, path string, docs long, tokens long"), "manifest")
+    made = written(in_arrow(dealt, _writer(folder, width), "shard int, path string, docs long, tokens long"), "manifest")
     return made.withColumn("start", F.sum("tokens").over(Window.orderBy("shard")) - F.col("tokens"))  # a row per shard
 
 

@@ -26,6 +26,18 @@ def texts(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").orderBy("doc_id").collect()]
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 4, 10, 101])
+def test_ranges(spark, n):
+    from tessella.llm.common import block_of, block_starts
+
+    d = spark.range(0, 3000, 7).select((F.col("id") - 500).alias("k"))
+    starts = block_starts(d, "k", n)
+    got = [tuple(r) for r in d.select("k", block_of(F.col("k"), starts)).collect()]
+    assert all(b == sum(s <= k for s in starts[1:]) for k, b in got) and len(starts) <= n + 1
+    assert d.limit(1).select(block_of(F.lit(None).cast("bigint"), starts)).first()[0] == 0
+    assert block_starts(d.where("k > 9999"), "k", n) == []
+
+
 # Fingerprints -----------------------------------------------------------------------------------------------------------
 def test_edited_texts(docs):
     rows = texts(docs)
