@@ -51,8 +51,13 @@ def flat(p: DataFrame) -> DataFrame:
     return p.select("frame", "x", "y", cut("r", 96), cut("g", 96), cut("b", 128), "a")
 
 
-def fg(p: DataFrame) -> DataFrame:
-    return p.where("r < 110 and frame < 8").select("frame", "x", "y")
+def first(p: DataFrame, frames: int | None) -> DataFrame:
+    """The frames under a bound; all of them without one."""
+    return p if frames is None else p.where(F.col("frame") < frames)
+
+
+def fg(p: DataFrame, frames: int | None) -> DataFrame:
+    return first(p, frames).where("r < 110").select("frame", "x", "y")
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:

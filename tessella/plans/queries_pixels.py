@@ -182,10 +182,13 @@ _SUB = [(4.0, 3.0), (8.0, 3.0), (8.0, 5.0), (4.0, 5.0)]
 _LINE = ((2.0, 12.0), (13.0, 3.0), 1.5)
 
 
-def _mask(spark, d):
-    p = _px(spark, d).where("frame < 12")
-    polys, lines = masks.edges({f: [{"add": [_POLY], "sub": [_SUB], "sub_lines": [_LINE]}] for f in range(12)})
-    return p, masks.rasterised(p, spark.createDataFrame(polys, masks.SPEC), spark.createDataFrame(lines, masks.LINES), 16, 16)
+def _mask(spark, d, frames=12):
+    """The pixels and one region's mask on every frame under the bound."""
+    p = X.first(_px(spark, d), frames)
+    polys, lines = masks.edges({0: [{"add": [_POLY], "sub": [_SUB], "sub_lines": [_LINE]}]})
+    every = p.select("frame").distinct()
+    spread = lambda rows, ddl: every.crossJoin(F.broadcast(spark.createDataFrame(rows, ddl).drop("frame")))
+    return p, masks.rasterised(p, spread(polys, masks.SPEC), spread(lines, masks.LINES), 16, 16)
 
 
 def _inside_sql(poly):
@@ -204,8 +207,8 @@ MASK_SQL = f"mask AS (SELECT frame, x, y FROM px WHERE frame < 12 AND a >= 128 A
 
 
 @query("f04_rasterised_masks", "SELECT frame, CAST(0 AS INT) AS region, x, y FROM mask", X.PX_SQL, MASK_SQL)
-def rasterised(spark, d):
-    return _mask(spark, d)[1]
+def rasterised(spark, d, frames=12):
+    return _mask(spark, d, frames)[1]
 
 
 CROPS_SQL = "crops AS (SELECT frame, CAST(frame % 5 + 1 AS INT) AS cx, CAST(frame % 3 + 2 AS INT) AS cy, CAST(8 AS INT) AS cw, CAST(9 AS INT) AS ch FROM px GROUP BY frame)"
@@ -276,15 +279,15 @@ _REMIX = """remixed AS (SELECT px.frame, px.x, px.y, CASE WHEN t THEN q.r ELSE p
 
 
 @query("j04_remix", "SELECT * FROM remixed", X.PX_SQL, X.ALT_SQL, MASK_SQL, _REMIX)
-def remix(spark, d):
-    p, m = _mask(spark, d)
+def remix(spark, d, frames=12):
+    p, m = _mask(spark, d, frames)
     return masks.remix(X.alt(p), p, m)
 
 
 @query("a17_seam_error", f"""SELECT s.frame, count(*) AS seam_pairs, sum({D2('s.', 'o.')})::DOUBLE / count(*) AS seam_error FROM remixed s JOIN (SELECT px.* FROM px ANTI JOIN mask USING (frame, x, y) WHERE a >= 128 AND px.frame < 12) o
   ON s.frame = o.frame AND abs(s.x - o.x) + abs(s.y - o.y) = 1 WHERE s.inside AND s.a >= 128 GROUP BY s.frame""", X.PX_SQL, X.ALT_SQL, MASK_SQL, _REMIX)
-def seam(spark, d):
-    p, m = _mask(spark, d)
+def seam(spark, d, frames=12):
+    p, m = _mask(spark, d, frames)
     return masks.seam(masks.remix(X.alt(p), p, m), p)
 
 
@@ -305,9 +308,9 @@ _PAIRS = "pairs AS (SELECT DISTINCT frame AS f1, frame + 1 AS f2 FROM px WHERE f
       SELECT f1, f2, coalesce(a1 >= 128 AND a2 >= 128, false) AS o, a1 IS NULL OR a2 IS NULL OR (a1 >= 128) <> (a2 >= 128) AS m, CASE WHEN a1 >= 128 AND a2 >= 128 THEN r1 END AS r1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g1 END AS g1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b1 END AS b1,
         CASE WHEN a1 >= 128 AND a2 >= 128 THEN r2 END AS r2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g2 END AS g2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b2 END AS b2
       FROM (SELECT f1, f2, x, y, r AS r1, g AS g1, b AS b1, a AS a1 FROM pairs JOIN flat ON frame = f1) s FULL JOIN (SELECT f1, f2, x, y, r AS r2, g AS g2, b AS b2, a AS a2 FROM pairs JOIN flat ON frame = f2) t USING (f1, f2, x, y)) GROUP BY ALL) GROUP BY ALL) GROUP BY f1, f2""", X.PX_SQL, X.FLAT_SQL, _PAIRS)
-def colour_maps(spark, d):
+def colour_maps(spark, d, frames=20):
     p = X.flat(_px(spark, d))
-    pairs = p.where("frame < 20").select(C("frame").alias("f1")).distinct().select("f1", (C("f1") + 1).alias("f2"))
+    pairs = X.first(p, frames).select(C("frame").alias("f1")).distinct().select("f1", (C("f1") + 1).alias("f2"))
     return palette_ops.colour_maps(p, pairs)
 
 
@@ -334,8 +337,8 @@ _COSTS = f"""costs AS (SELECT f, dx, dy, sum(CASE WHEN {_SAME} THEN 0 ELSE 1 END
 
 
 @query("j10_best_shift", "SELECT f, f AS g, dx, dy, miss FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY miss, dy, dx) AS k FROM costs) WHERE k = 1", X.PX_SQL, _SHIFTED, _COSTS)
-def best_shift(spark, d):
-    p = _px(spark, d).where("frame < 6")
+def best_shift(spark, d, frames=6):
+    p = X.first(_px(spark, d), frames)
     pairs = p.select(C("frame").alias("f")).distinct().select("f", C("f").alias("g"), F.lit(0).alias("sx"), F.lit(0).alias("sy"))
     return alignment.best_shift(p, p.withColumns({"x": C("x") + 2, "y": C("y") - 1}), pairs)
 
@@ -347,8 +350,9 @@ def starts(spark, d):
     return alignment.starts(pairs, c)
 
 
-def _shifts(spark):
-    return spark.createDataFrame([(f, f + 1, 1, -1) for f in range(8)], "f bigint, g bigint, dx int, dy int")
+def _shifts(p, frames):
+    f = X.first(p, frames).select(C("frame").alias("f")).distinct()
+    return f.select("f", (C("f") + 1).alias("g"), F.lit(1).alias("dx"), F.lit(-1).alias("dy"))
 
 
 _TP = """tp AS (SELECT p.frame, p.x, p.y, p.r AS pr, p.g AS pg, p.b AS pb, p.a AS pa, coalesce(s.r, 0) AS qr, coalesce(s.g, 0) AS qg, coalesce(s.b, 0) AS qb, coalesce(s.a, 0) AS qa, coalesce(e.r, 0) AS er, coalesce(e.g, 0) AS eg, coalesce(e.b, 0) AS eb, coalesce(e.a, 0) AS ea, m.frame IS NOT NULL AS i
@@ -356,10 +360,10 @@ _TP = """tp AS (SELECT p.frame, p.x, p.y, p.r AS pr, p.g AS pg, p.b AS pb, p.a A
 
 
 @query("j12_transplant", f"SELECT frame, x, y, CASE WHEN t THEN er ELSE pr END AS r, CASE WHEN t THEN eg ELSE pg END AS g, CASE WHEN t THEN eb ELSE pb END AS b, CASE WHEN t THEN ea ELSE pa END AS a, CASE WHEN t THEN 'taken' WHEN i THEN 'kept' END AS state FROM (SELECT *, i AND {_SAME} AS t FROM tp)", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _TP)
-def transplant(spark, d):
-    p, m = _mask(spark, d)
+def transplant(spark, d, frames=8):
+    m = _mask(spark, d, None if frames is None else 12)[1]
     p = _px(spark, d)
-    return alignment.transplant(X.flat(p), X.alt(p), m, _shifts(spark))
+    return alignment.transplant(X.flat(p), X.alt(p), m, _shifts(p, frames))
 
 
 _DONOR = "(em.frame IS NOT NULL)"
@@ -368,17 +372,17 @@ _GF = """gf AS (SELECT p.frame, p.x, p.y, p.r AS pr, p.g AS pg, p.b AS pb, p.a A
 
 
 @query("j13_graft", f"SELECT frame, x, y, CASE WHEN t THEN er ELSE pr END AS r, CASE WHEN t THEN eg ELSE pg END AS g, CASE WHEN t THEN eb ELSE pb END AS b, CASE WHEN t THEN ea ELSE pa END AS a, t AS grafted FROM (SELECT *, has AND i AND {_SAME} AND (er <> qr OR eg <> qg OR eb <> qb OR ea <> qa) AS t FROM gf)", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _GF)
-def graft(spark, d):
-    p, m = _mask(spark, d)
+def graft(spark, d, frames=8):
+    m = _mask(spark, d, None if frames is None else 12)[1]
     p = _px(spark, d)
-    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(spark))
+    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p, frames))
 
 
 @query("j14_stamp_figure", "SELECT frame, x, y, CASE WHEN has THEN er WHEN i THEN 0 ELSE pr END AS r, CASE WHEN has THEN eg WHEN i THEN 0 ELSE pg END AS g, CASE WHEN has THEN eb WHEN i THEN 0 ELSE pb END AS b, CASE WHEN has THEN ea WHEN i THEN 0 ELSE pa END AS a, has AS grafted FROM gf", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _GF)
-def stamp_figure(spark, d):
-    p, m = _mask(spark, d)
+def stamp_figure(spark, d, frames=8):
+    m = _mask(spark, d, None if frames is None else 12)[1]
     p = _px(spark, d)
-    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(spark), stamp=True)
+    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p, frames), stamp=True)
 
 
 @query("j16_hold", """SELECT h.f AS frame, p.x + h.dx AS x, p.y + h.dy AS y, r, g, b, a FROM px p JOIN (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import inspect
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 _MODULES = (queries_pixels, queries_votes, queries_frames)
 
 
+def _whole() -> dict[str, Query]:
+    """name_all: the queries whose SQL is bounded to the first frames, over all frames. They have no SQL."""
+    bounded = {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items() if "frames" in inspect.signature(q).parameters}
+    return {f"{name}_all": functools.partial(q, frames=None) for name, q in bounded.items()}
+
+
 def queries() -> dict[str, Query]:
-    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()}
+    return {name: q for m in _MODULES for name, (q, _) in m.QUERIES.items()} | _whole()
 
 
 def oracle_sql() -> dict[str, str]:
