@@ -340,8 +340,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
 
 
 def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one per component stays (that with the smallest doc_id), all their columns unchanged.
-    Repeated rows of one doc_id count as copies: one of them stays."""
+    """The documents of which one per component stays (that with the smallest doc_id), all their columns unchanged. Works by
+    doc_id: repeated rows of a doc_id that stays all stay, and rows without a doc_id do. :func:`one_each` works by row."""
     gone = written(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     kept = docs.join(small(gone, most=PICK_ROWS), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
     return kept
+
+
+def one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of which one per component of texts stays, all their columns unchanged: that with the smallest doc_id, rows
+    without one last. A row counts by its text, not by its doc_id: repeated rows are copies, whatever their doc_id, and
+    different texts under one doc_id are documents of their own. Rows without a word count as copies only under one doc_id."""
+    names = docs.columns
+    # rows get their numbers once, in a table: they would change if the scan were planned anew
+    rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row")), "rows")
+    doc_id, text = (F.col(f"c{names.index(c)}") for c in ("doc_id", "text"))
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), text.alias("text")), width, percent).select(F.col("doc_id").alias("_r"), "n_shingles", "component_id")
+    placed = found.join(rows.select("_row", doc_id.cast("long").alias("_id")), F.col("_r") == F.col("_row"))
+    group = F.when((F.col("n_shingles") > 0) | F.col("_id").isNull(), F.col("component_id"))
+    first = F.min(F.struct(F.col("_id").isNull(), "_id", "_row"))
+    placed = placed.select("_row", "_id", group.alias("g"), F.when(group.isNull(), F.col("_id")).alias("h"))
+    best = placed.groupBy("g", "h").agg(first.alias("m")).select(F.col("m._row").alias("_best"))
+    gone = written(placed.join(best, F.col("_row") == F.col("_best"), "left_anti").select(F.col("_row").alias("_gone")), "gone")
+    kept = rows.join(small(gone, most=PICK_ROWS), F.col("_row") == F.col("_gone"), "left_anti")
+    return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -104,3 +104,16 @@ def test_components(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (9, 8), (8, 7), (5, 5), (20, 1)] + [(100 + i, 101 + i) for i in range(60)], "a bigint, b bigint")
     got = {r["id"]: r["component"] for r in nd.components(e).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 20: 1, 7: 7, 8: 7, 9: 7} | {100 + i: 100 for i in range(61)}
+
+
+def test_pipeline_stage_goes_by_rows(spark, sf):
+    """Repeated rows, rows without a doc_id and different texts under one doc_id."""
+    import corpus_pipeline
+
+    one, two = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    rows = [(1, one, "x"), (1, one, "x"), (1, one, "y"), (2, two, "x"), (2, one + " z", "x"), (3, two, "x"), (3, " ".join(f"c{i}" for i in range(9)), "x"), (None, one, "x"), (None, "p q r s t u", "x"), (None, "p q r s t u", "x"), (4, "", "x"), (4, None, "x"), (5, "", "x"), (None, "", "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    out = corpus_pipeline.near_duplicates(spark, df, sf)
+    assert out.columns == df.columns
+    got = sorted(((r["doc_id"], r["text"] or None) for r in out.collect()), key=str)
+    assert got == sorted([(1, one), (2, two), (3, rows[6][1]), (None, rows[8][1]), (4, None), (5, None), (None, None), (None, None)], key=str)
