@@ -198,7 +198,7 @@ _PLAYED = "played AS (SELECT s.* FROM steps s JOIN lasts USING (anim) WHERE step
 def plan(spark, d):
     p = X.px(spark, d)
     first = animations.first_anim(X.steps(spark, d))
-    rows = _frames(p).join(first, C("ord") == C("frame"), "left").where("ord < 40").select(F.coalesce("anim", F.lit(-1)).alias("anim"), "ord", "w", "h").collect()
+    rows = _frames(p).join(first, C("ord") == C("frame"), "left").select(F.coalesce("anim", F.lit(-1)).alias("anim"), "ord", "w", "h").collect()
     out = layout.plan([tuple(r) for r in rows], 5, 400)
     return spark.createDataFrame([(i, f, r) for i, (fs, r) in enumerate(out) for f in fs], "sheet int, frame bigint, rows int")
 
@@ -227,10 +227,10 @@ def lift(spark, d):
 
 @query("a23_medoid", None)
 def medoid(spark, d):
-    g = X.gray(spark, d).where("frame < 60")
+    g = X.gray(spark, d)
     p = g.select("frame", "x", "y", C("v").alias("r"), C("v").alias("g"), C("v").alias("b"), F.lit(255).alias("a"))
     seq = g.select(C("label").alias("anim"), C("frame").alias("step"), "frame").distinct()
-    return alignment.medoids(p, seq, most=4, reach=1)
+    return alignment.medoids(p, seq)
 
 
 @query("a22_median_edges", "SELECT frame, max(r) FILTER (k = n // 2) AS median FROM (SELECT frame, r, row_number() OVER (PARTITION BY frame ORDER BY r) - 1 AS k, count(*) OVER (PARTITION BY frame) AS n FROM px) GROUP BY frame", X.PX_SQL)
@@ -320,8 +320,9 @@ def coverage(spark, d):
 # Pipelines --------------------------------------------------------------------------------------------------------------
 @query("x01_downscale", None)
 def downscale(spark, d):
-    p = X.flat(X.px(spark, d)).where("frame < 12")
-    frames = p.groupBy("frame").count().where("count = 256").select(F.lit(0).cast("bigint").alias("sheet"), C("frame").alias("ord"), F.lit(16).alias("w"), F.lit(16).alias("h"))
+    p = X.flat(X.px(spark, d))
+    # sheets of twelve frames
+    frames = p.groupBy("frame").count().where("count = 256").select(F.floor(C("frame") / 12).alias("sheet"), C("frame").alias("ord"), F.lit(16).alias("w"), F.lit(16).alias("h"))
     full = p.join(frames.select(C("ord").alias("frame")), "frame", "left_semi")
     m = layout.sheet_manifest(frames, 3, 6, 1)
     return pipelines.downscale(layout.sheet(full, m, 3, X.BG), m, 3, X.palette(spark), X.BG, tol=24, resolve=True, grain=True, despeckle=True)
@@ -334,13 +335,13 @@ def conform(spark, d):
 
 @query("x08_pixelize", None)
 def pixelize(spark, d):
-    return pipelines.pixelize(X.px(spark, d).where("frame < 4"), 12, 12, 6)
+    return pipelines.pixelize(X.px(spark, d), 12, 12, 6)
 
 
 @query("x10_smooth", None)
 def smooth(spark, d):
-    p = X.flat(X.px(spark, d)).where("frame < 12")
-    s = X.steps(spark, d).where("anim < 3").select("anim", "step", "frame", "x", "y", "z", "last")
+    p = X.flat(X.px(spark, d))
+    s = X.steps(spark, d).select("anim", "step", "frame", "x", "y", "z", "last")
     return pipelines.smooth(p, X.alt(p), layout.boxes(p), s)
 
 
@@ -360,7 +361,7 @@ def foam_rim(spark, d, frames=8):
 
 @query("g17_foam_droplets", None)
 def droplets(spark, d):
-    return samples.droplets(X.fg(X.px(spark, d), 8), 7)
+    return samples.droplets(X.fg(X.px(spark, d), None), 7)
 
 
 @query("j19_keep_effects", """SELECT p.frame, p.x, p.y, coalesce(s.r, p.r) AS r, coalesce(s.g, p.g) AS g, coalesce(s.b, p.b) AS b, coalesce(s.a, p.a) AS a FROM alt p LEFT JOIN (
@@ -385,9 +386,9 @@ def scraps(spark, d):
 @query("c06_figures", None)
 def figures(spark, d):
     p = X.px(spark, d)
-    return samples.figure(p.where("frame < 8 and x between 7 and 8 and y between 7 and 8"), p.where("frame < 8 and r < 60"), 1)
+    return samples.figure(p.where("x between 7 and 8 and y between 7 and 8"), p.where("r < 60"), 1)
 
 
 @query("g15_chest_rows", None)
 def chest_rows(spark, d):
-    return samples.chest_rows(X.fg(X.px(spark, d), 8), 2, 2)
+    return samples.chest_rows(X.fg(X.px(spark, d), None), 2, 2)

@@ -89,3 +89,8 @@ def test_upscaled_and_sheets_of_all_frames(spark, px):
     want = sorted((p["frame"], p["x"] * 3 + i, p["y"] * 3 + j, p["r"], p["g"], p["b"], p["a"]) for p in px for i in range(3) for j in range(3))
     assert sorted(tuple(r.values()) for r in rows(QUERIES["g01_upscale_all"](spark, SF).select("frame", "x", "y", "r", "g", "b", "a"))) == want
     assert QUERIES["g02_sheet_pixels_all"](spark, SF).count() == 200 * 220 * len({p["frame"] // 6 for p in px})
+
+
+@pytest.mark.parametrize("name", ["x08_pixelize", "g15_chest_rows", "g17_foam_droplets", "c06_figures", "x01_downscale"])
+def test_composites_take_all_frames(spark, px, name):
+    assert max(r["frame"] for r in QUERIES[name](spark, SF).select("frame").distinct().collect()) > 30
