@@ -40,11 +40,14 @@ def quality_rules_sql() -> str:
     """The same statistics, sketches and thresholds as in quality_rules, from its parameters."""
     q = quality_rules
     value = {m: f"({f} * {a} // greatest({b}, 1))" for m, (a, b, f, _, _) in q.MEASURES.items()}
-    cells = "\n  UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v} AS v FROM base WHERE NOT base_failed" for m, v in value.items())
+    sketched = value | {s: s for s in q.SIZES}
+    cells = "\n  UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {v} AS v FROM base WHERE NOT base_failed" for m, v in sketched.items())
     level = lambda by: f"SELECT {by}measure, b, sum(c) AS c FROM cells GROUP BY {by}measure, b"
-    quant = lambda src, by: f"SELECT {by}measure, max(n) AS n, min(CASE WHEN 4 * upto >= n THEN b END) AS q25, min(CASE WHEN 4 * upto >= 3 * n THEN b END) AS q75 FROM (SELECT *, sum(c) OVER (PARTITION BY {by}measure ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {by}measure) AS n FROM {src}) GROUP BY {by}measure"
+    firsts = ", ".join(f"min(CASE WHEN 4 * upto >= {k} * n THEN b END) AS q{k}" for k in q.QUARTERS)
+    quant = lambda src, by: f"SELECT {by}measure, max(n) AS n, {firsts} FROM (SELECT *, sum(c) OVER (PARTITION BY {by}measure ORDER BY b) AS upto, sum(c) OVER (PARTITION BY {by}measure) AS n FROM {src}) GROUP BY {by}measure"
     pick = lambda c: f"CASE WHEN o.n >= {q.LEAST_GROUP} THEN o.{c} WHEN l.n >= {q.LEAST_GROUP} THEN l.{c} ELSE g.{c} END AS {c}"
-    fences = ",\n    ".join(f"max(CASE WHEN measure = '{m}' THEN greatest(q75 + {q.REACH} * (q75 - q25), {x[3]}) END) AS hi_{m}" + (f", max(CASE WHEN measure = '{m}' THEN q25 - {q.REACH} * (q75 - q25) END) AS lo_{m}" if x[4] else "") for m, x in q.MEASURES.items())
+    at = lambda m, k: f"max(CASE WHEN measure = '{m}' THEN q{k} END)"
+    fences = ",\n    ".join(f"{at(m, 3)} + {q.REACH} * ({at(m, 3)} - {at(m, 2)}) + {x[2] * x[3]} // greatest({at(x[1], 1)}, 1) AS hi_{m}" + (f", {at(m, 1)} - {q.REACH} * ({at(m, 2)} - {at(m, 1)}) AS lo_{m}" if x[4] else "") for m, x in q.MEASURES.items())
     tests = " AND ".join(f"coalesce({value[m]} <= t.hi_{m}, true)" + (f" AND coalesce({value[m]} >= t.lo_{m}, true)" if x[4] else "") for m, x in q.MEASURES.items())
     return rf"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text FROM documents),
@@ -63,12 +66,12 @@ base0 AS (
 base AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.MOST_REPEATED} * n_words AS base_failed FROM base0),
 vals AS ({cells}),
 cells AS (
-  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - 6, 0)) << greatest(length(bin(v)) - 6, 0) AS b, count(*) AS c
+  SELECT lang, source, measure, (v >> greatest(length(bin(v)) - {q.BITS}, 0)) << greatest(length(bin(v)) - {q.BITS}, 0) AS b, count(*) AS c
   FROM vals GROUP BY ALL),
 cl AS ({level("lang, ")}), ca AS ({level("")}),
 o AS ({quant("cells", "lang, source, ")}), l AS ({quant("cl", "lang, ")}), g AS ({quant("ca", "")}),
 picked AS (
-  SELECT o.lang, o.source, o.measure, {pick("q25")}, {pick("q75")}
+  SELECT o.lang, o.source, o.measure, {", ".join(pick(f"q{k}") for k in q.QUARTERS)}
   FROM o LEFT JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.measure = l.measure LEFT JOIN g ON o.measure = g.measure),
 t AS (
   SELECT lang, source,

@@ -5,14 +5,19 @@ Per document, from its whole text (null: empty): n_words, word_chars (code point
 windows found twice or more, the first time included), n_lines (lines with a word), n_upper (A-Z), n_bangs (``!``).
 
 A document fails the base rules with under ``LEAST_WORDS`` words, or with over half of its words in repeated windows.
-Those that pass give measures in whole thousandths (hundredths of a character for the mean word length). A measure's
-sketch counts values by bucket: a value under 64 is its own bucket, a larger one is cut to its six leading bits, so a
-quantile is off by a 32nd at most. Sketches merge by adding counts: those of a language and source, of a language, of
-all. A group takes thresholds from its own sketch if that holds ``LEAST_GROUP`` documents, else its language's, else all.
-
-The upper threshold is ``q75 + 6 * (q75 - q25)``, never under the measure's floor (a group in which the measure is always
-0 must tolerate a first symbol); the mean word length also has a lower one. Thresholds join back on language and source:
-by broadcast where they are few, else by a shuffle that adaptive execution splits for a hot source.
+Those that pass give measures in whole thousandths (hundredths of a character for the mean word length) and their three
+sizes (words, lines, characters in words). A sketch counts values by bucket: a value under 512 is its own bucket, a larger
+one is cut to its nine leading bits, so a quantile is off by a 256th at most. Sketches merge by adding counts: those of a
+language and source, of a language, of all. A group takes its quantiles from its own sketch if that holds ``LEAST_GROUP``
+documents, else its language's, else all.
+
+A measure's upper threshold is ``q75 + REACH * (q75 - q50) + slack``. With an exponential tail through the group's median
+and upper quartile, one document in a thousand lies beyond REACH = log2(500) spreads. The slack is the rate that the
+measure's tolerated occurrences make in a short document of the group (one of its lower quartile of sizes), so a group in
+which a measure is mostly 0 bears a first few. The mean word length has no slack but a lower threshold too, ``q25 - REACH *
+(q50 - q25)``. Up to a quarter of a group may be bad without moving the quartiles into it. No threshold is fixed: all are
+read from the sketches. Thresholds join back on language and source: by broadcast where they are few, else by a shuffle
+that adaptive execution splits for a hot source.
 
 Null languages and sources form groups of their own. Columns besides doc_id, text, lang and source are passed through by
 :func:`filtered` and ignored by :func:`judged`; a table without rows gives none; repeated rows are judged each.
@@ -29,16 +34,20 @@ from pyspark.sql import functions as F
 
 from .common import in_arrow, small, written
 
-LEAST_WORDS, MOST_REPEATED, LEAST_GROUP, REACH = 50, 50, 100, 6
-#: measure: (numerator, denominator, factor, floor of the upper threshold, whether a lower threshold holds too)
+LEAST_WORDS, MOST_REPEATED, LEAST_GROUP, REACH = 50, 50, 100, 9
+#: measure: (numerator, denominator, factor, occurrences a short document may have, whether a lower threshold holds too)
 MEASURES = {
-    "symbols": ("n_symbols", "n_words", 1000, 100, False),
-    "repeats": ("n_repeat_words", "n_words", 1000, 400, False),
-    "dup_lines": ("n_dup_lines", "n_lines", 1000, 500, False),
-    "upper": ("n_upper", "word_chars", 1000, 500, False),
-    "bangs": ("n_bangs", "n_words", 1000, 200, False),
-    "word_length": ("word_chars", "n_words", 100, 900, True),
+    "symbols": ("n_symbols", "n_words", 1000, 4, False),
+    "repeats": ("n_repeat_words", "n_words", 1000, 30, False),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 2, False),
+    "upper": ("n_upper", "word_chars", 1000, 5, False),
+    "bangs": ("n_bangs", "n_words", 1000, 4, False),
+    "word_length": ("word_chars", "n_words", 100, 0, True),
 }
+#: The denominators, whose lower quartiles say what a short document of a group is.
+SIZES = ["n_words", "n_lines", "word_chars"]
+#: Leading bits that a sketch keeps of a value, and the quartiles it is asked for.
+BITS, QUARTERS = 9, (1, 2, 3)
 STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_bangs"]
 _UPPER = bytes(range(65, 91))
 
@@ -98,14 +107,16 @@ def _value(measure: str) -> Column:
 
 
 def bucket(v: Column) -> Column:
-    """The sketch's bucket: the value with all but its six leading bits cleared."""
-    drop = F.greatest(F.length(F.bin(v)) - 6, F.lit(0))
+    """The sketch's bucket: the value with all but its BITS leading bits cleared."""
+    drop = F.greatest(F.length(F.bin(v)) - BITS, F.lit(0))
     return F.call_function("shiftleft", F.call_function("shiftright", v, drop), drop)
 
 
 def sketches(stats: DataFrame) -> DataFrame:
-    """(_lang, _source, measure, bucket, c) over documents that pass the base rules. Counts combine before the shuffle."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(_value(m)).alias("bucket")) for m in MEASURES])).alias("p")
+    """(_lang, _source, measure, bucket, c) over documents that pass the base rules, of all measures and sizes. Counts
+    combine before the shuffle."""
+    values = {m: _value(m) for m in MEASURES} | {s: F.col(f"_{s}") for s in SIZES}
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), bucket(v).alias("bucket")) for m, v in values.items()])).alias("p")
     return stats.where("not base_failed").select("_lang", "_source", pairs).groupBy("_lang", "_source", "p.measure", "p.bucket").agg(F.count("*").alias("c"))
 
 
@@ -114,10 +125,10 @@ def merged(cells: DataFrame, by: list[str]) -> DataFrame:
 
 
 def quantiles(cells: DataFrame, by: list[str]) -> DataFrame:
-    """q25 and q75 (the first buckets that reach a quarter and three quarters of the count) and n of each sketch."""
+    """q1, q2 and q3 (the first buckets that reach so many quarters of the count) and n of each sketch."""
     w = Window.partitionBy(*by, "measure")
     seen = cells.select("*", F.sum("c").over(w.orderBy("bucket")).alias("upto"), F.sum("c").over(w).alias("n"))
-    return seen.groupBy(*by, "measure").agg(F.max("n").alias("n"), *[F.min(F.when(4 * F.col("upto") >= k * F.col("n"), F.col("bucket"))).alias(f"q{25 * k}") for k in (1, 3)])
+    return seen.groupBy(*by, "measure").agg(F.max("n").alias("n"), *[F.min(F.when(4 * F.col("upto") >= k * F.col("n"), F.col("bucket"))).alias(f"q{k}") for k in QUARTERS])
 
 
 def thresholds(cells: DataFrame) -> DataFrame:
@@ -126,11 +137,12 @@ def thresholds(cells: DataFrame) -> DataFrame:
     own, lang, all_ = (quantiles(cells if len(by) == 2 else merged(cells, by), by) for by in levels)
     same = F.col("o._lang").eqNullSafe(F.col("l._lang")) & (F.col("o.measure") == F.col("l.measure"))
     q = own.alias("o").join(lang.alias("l"), same, "left").join(all_.alias("g"), F.col("o.measure") == F.col("g.measure"), "left")
-    pick = lambda c: F.when(F.col("o.n") >= LEAST_GROUP, F.col(f"o.{c}")).when(F.col("l.n") >= LEAST_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"g.{c}"))
-    q = q.select("o._lang", "o._source", "o.measure", pick("q25").alias("q25"), pick("q75").alias("q75"))
-    up, down = F.col("q75") + REACH * (F.col("q75") - F.col("q25")), F.col("q25") - REACH * (F.col("q75") - F.col("q25"))
-    is_ = lambda m: F.col("measure") == m
-    return q.groupBy("_lang", "_source").agg(*[F.max(F.when(is_(m), F.greatest(up, F.lit(floor)))).alias(f"hi_{m}") for m, (_, _, _, floor, _) in MEASURES.items()], *[F.max(F.when(is_(m), down)).alias(f"lo_{m}") for m, x in MEASURES.items() if x[4]])
+    pick = lambda c: F.when(F.col("o.n") >= LEAST_GROUP, F.col(f"o.{c}")).when(F.col("l.n") >= LEAST_GROUP, F.col(f"l.{c}")).otherwise(F.col(f"g.{c}")).alias(c)
+    q = q.select("o._lang", "o._source", "o.measure", *[pick(f"q{k}") for k in QUARTERS])
+    wide = q.groupBy("_lang", "_source").agg(*[F.max(F.when(F.col("measure") == m, F.col(f"q{k}"))).alias(f"{m}_{k}") for m in [*MEASURES, *SIZES] for k in QUARTERS])
+    upper = {m: F.expr(f"{m}_3 + {REACH} * ({m}_3 - {m}_2) + {factor * slack} div greatest({size}_1, 1)") for m, (_, size, factor, slack, _) in MEASURES.items()}
+    lower = {m: F.expr(f"{m}_1 - {REACH} * ({m}_2 - {m}_1)") for m, x in MEASURES.items() if x[4]}
+    return wide.select("_lang", "_source", *[v.alias(f"hi_{m}") for m, v in upper.items()], *[v.alias(f"lo_{m}") for m, v in lower.items()])
 
 
 def _joined(stats: DataFrame, limits: DataFrame) -> DataFrame:

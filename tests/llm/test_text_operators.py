@@ -204,13 +204,54 @@ def test_thresholds_follow_the_group(spark):
     """Symbols that are usual in one source are an outlier in another; sketches of small groups borrow from their language."""
     text = lambda k: " ".join(["word"] * 0 + [f"w{i}" + ("#" if i < k else "") for i in range(100)])
     rows = [(i, text(30 + i % 9), "en", "code") for i in range(150)] + [(1000 + i, text(0), "en", "news") for i in range(150)]
-    rows += [(5000, text(35), "en", "news"), (5001, text(35), "en", "code")]
+    rows += [(5000, text(35), "en", "news"), (5001, text(35), "en", "code"), (5002, " ".join(chr(97 + i % 26) + chr(97 + i // 26) for i in range(100)).replace("a", ""), "en", "news")]
     out = {r["doc_id"]: r["kept"] for r in quality_rules.judged(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not out[5000] and out[5001] and out[0] and out[1000]
+    assert not out[5000] and out[5001] and out[0] and out[1000] and not out[5002]
+
+
+def brute_rules(rows):
+    """{doc_id: kept} and the share of rejections that hang on one bound alone, from sorted lists of bucketed values."""
+    cut = lambda v: v >> max(v.bit_length() - quality_rules.BITS, 0) << max(v.bit_length() - quality_rules.BITS, 0)
+    stats = {i: dict(zip(quality_rules.STATS, quality_rules.text_stats(t))) for i, t, _, _ in rows}
+    base = {i for i, s in stats.items() if s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"]}
+    value = lambda i, m: quality_rules.MEASURES[m][2] * stats[i][quality_rules.MEASURES[m][0]] // max(stats[i][quality_rules.MEASURES[m][1]], 1) if m in quality_rules.MEASURES else stats[i][m]
+    groups = {}
+    for i, _, lang, source in rows:
+        if i not in base:
+            for key in ((lang, source), (lang,), ()):
+                groups.setdefault(key, []).append(i)
+    limits, kept, alone = {}, {}, {}
+    for i, _, lang, source in rows:
+        if i in base:
+            kept[i] = False
+            continue
+        key = next((k for k in ((lang, source), (lang,)) if len(groups[k]) >= quality_rules.LEAST_GROUP), ())
+        if key not in limits:
+            n = len(groups[key])
+            q = {m: [sorted(cut(value(j, m)) for j in groups[key])[-(-n * k // 4) - 1] for k in (1, 2, 3)] for m in [*quality_rules.MEASURES, *quality_rules.SIZES]}
+            up = {f"hi_{m}": q[m][2] + quality_rules.REACH * (q[m][2] - q[m][1]) + f * slack // max(q[d][0], 1) for m, (_, d, f, slack, _) in quality_rules.MEASURES.items()}
+            limits[key] = up | {"lo_word_length": q["word_length"][0] - quality_rules.REACH * (q["word_length"][1] - q["word_length"][0])}
+        broken = [b for b, v in limits[key].items() if (value(i, b[3:]) > v if b[:2] == "hi" else value(i, b[3:]) < v)]
+        kept[i] = not broken
+        if len(broken) == 1:
+            alone[broken[0]] = alone.get(broken[0], 0) + 1
+    return kept, alone, limits
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.1"])
+def test_rules_match_brute_force(spark, sf, size):
+    """All verdicts, and that the groups' own sketches decide: thresholds differ and no bound stands in for the others."""
+    d = spark.read.parquet(sf.replace("sf0.001", size) + "/documents.parquet")
+    want, alone, limits = brute_rules([tuple(r) for r in d.select("doc_id", "text", "lang", "source").collect()])
+    assert {r["doc_id"]: r["kept"] for r in quality_rules.judged(d).collect()} == want
+    if size == "sf0.1":
+        for m in quality_rules.MEASURES:
+            assert len({v[f"hi_{m}"] for v in limits.values()}) > 1, m
+        assert {"hi_symbols", "hi_repeats", "hi_upper", "hi_word_length"} <= set(alone), alone
 
 
 def test_sketch_buckets(spark):
-    for v, b in ((0, 0), (63, 63), (64, 64), (65, 64), (1000, 992), (10**6, 999424)):
+    for v, b in ((0, 0), (511, 511), (512, 512), (1023, 1022), (1025, 1024), (10**6, 999424)):
         assert spark.range(1).select(quality_rules.bucket(F.lit(v).cast("bigint"))).first()[0] == b
 
 
