@@ -7,7 +7,7 @@ import ctypes
 import math
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,10 +16,12 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space; ``bytes.split()`` without arguments splits alike.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows up to which a side of longs or short structs is broadcast. At about 100 bytes a row, 20 MB.
-BROADCAST_ROWS = 200_000
+#: Bytes up to which a side is broadcast, counted as ROW_BYTES a row, eight for each number and those of texts and binaries.
+BROADCAST_BYTES, ROW_BYTES = 32 << 20, 40
 #: Bytes of an Arrow batch of texts.
 BATCH = 4 << 20
+#: Paths of the tables made inside each open :func:`scratch`.
+_MADE: list[list[str]] = []
 _BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
@@ -42,26 +44,52 @@ def new_path(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts the lineage, survives lost executors, and keeps fewer bytes
-    than a row checkpoint."""
+    than a row checkpoint. It lives until :func:`removed`, the end of an enclosing :func:`scratch`, or the removal of the
+    application's folder."""
     path = new_path(df.sparkSession, what)
+    for made in _MADE[-1:]:
+        made.append(path)
+    return stored(df, path)
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
+    """``df`` written to ``path`` and read again."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def removed(spark: SparkSession, *tables: DataFrame) -> None:
     """Deletes tables made by :func:`written` that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    for df in tables:
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-            if "/tessella/" in f:
-                path = jvm.org.apache.hadoop.fs.Path(f)
-                path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, {x.rsplit("/", 1)[0] for df in tables for x in df.inputFiles() if "/tessella/" in x})
+
 
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """``df`` with a broadcast hint if all its rows take at most BROADCAST_BYTES; otherwise as it is, for a shuffled join.
+    ``df`` is run for that (it should be a stored table or little work) unless it has but numbers and ``rows`` says how many."""
+    if rows is not None:
+        return F.broadcast(df) if rows * (ROW_BYTES + 8 * len(df.columns)) <= BROADCAST_BYTES else df
+    width = [F.octet_length(f"`{f.name}`") if f.dataType.typeName() in ("string", "binary") else F.lit(8) for f in df.schema.fields]
+    size = df.agg(F.sum(sum((F.coalesce(w, F.lit(0)) for w in width), F.lit(ROW_BYTES)).cast("long")).alias("bytes")).first()
+    return F.broadcast(df) if (size["bytes"] or 0) <= BROADCAST_BYTES else df
 
-def small(df: DataFrame, rows: int | None = None, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``most`` rows; otherwise as it is, for a shuffled join."""
-    n = df.limit(most + 1).count() if rows is None else rows
-    return F.broadcast(df) if n <= most else df
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`written` makes inside are deleted at the end; what is still needed must be stored elsewhere by then."""
+    made: list[str] = []
+    _MADE.append(made)
+    try:
+        yield
+    finally:
+        _MADE.pop()
+        _delete(spark, made)
+
+
+def _delete(spark: SparkSession, paths: Iterable[str]) -> None:
+    jvm = spark.sparkContext._jvm
+    for p in paths:
+        path = jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def trimmed() -> None:

@@ -125,8 +125,11 @@ def mixed(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tupl
 
 def repeated(docs: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """The mixed corpus: each document as often as it is taken, all columns unchanged."""
-    c = written(_copies(docs, share, most, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), "copies").distinct(), "copies")
-    d = docs.withColumn("_n", F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
-    on = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & F.col("source").cast("string").eqNullSafe(F.col("_source"))
-    out = d.join(small(c, most=1_000_000), on).withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(*[F.col(f"`{x}`") for x in docs.columns])
+    c = written(_copies(docs, share, most, weights).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("copies").cast("int").alias("_copies")).distinct(), "copies")
+    # inputs go by number, so that no name of theirs meets one of ours
+    d = docs.select(*[F.col(f"`{x}`").alias(f"c{i}") for i, x in enumerate(docs.columns)])
+    doc_id, text, source = (F.col(f"c{docs.columns.index(x)}") for x in ("doc_id", "text", "source"))
+    d = d.withColumn("_n", F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long"))
+    on = doc_id.eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")) & source.cast("string").eqNullSafe(F.col("_source"))
+    out = d.join(small(c), on).withColumn("_k", F.explode(F.array_repeat(F.lit(1), F.col("_copies"))))
+    return out.select(*[F.col(f"c{i}").alias(x) for i, x in enumerate(docs.columns)])

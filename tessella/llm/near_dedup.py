@@ -11,9 +11,10 @@ Stages, all of them distributed:
    of its leading zeros and its next mantissa bits. Registers that no shingle picked are filled with the smallest of a
    second hash family over all shingles, marked as such, so small sets have full signatures and each register of two
    sets still agrees with the probability of their similarity.
-2. Documents with equal digests form a class, represented by its smallest doc_id; the rest works on representatives, so
-   a group of thousands of copies is one row.
-3. Bands of registers are hashed; each bucket's smallest representative is its hub, and each member pairs with the hub.
+2. Documents with equal digests form a class, numbered in the order of its smallest doc_id. Digests are dealt over SALTS
+   parts each before anything is joined on them, so a group of copies of any size is spread; the rest works on classes,
+   where such a group is one row.
+3. Bands of registers are hashed; each bucket's smallest class is its hub, and each member pairs with the hub.
    Candidate pairs must pass a size bound and the collision-corrected estimate of their similarity, and are then
    confirmed on the full sets. Connected components follow from alternating star contractions.
 4. Members of a bucket that are still in different components are compared with each other (members outside the bucket's
@@ -32,11 +33,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_arrow, removed, small, written
 
+#: Parts over which the rows of one digest, or of one component, are dealt for joins.
+SALTS = 64
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 #: Bits of mantissa in a register; six bits hold the leading zeros (0 to 63), one marks a register filled by the second family.
@@ -48,8 +51,6 @@ LEAST_ESTIMATE = 0.62
 WORDS, SCREEN = REGISTERS // 16, 103
 #: Members of a bucket from which on it is compared in blocks, and members of a block.
 LARGE, BLOCK = 32, 256
-#: Rows of (doc_id) that may be broadcast to pick texts for confirmation; beyond it the texts are joined by a shuffle.
-PICK_ROWS = 1_000_000
 
 _U = np.uint64
 
@@ -77,6 +78,11 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return np.unique(out)
 
 
+def digest(hashes: np.ndarray) -> bytes:
+    """128 bits of a set's sorted hashes."""
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 with np.errstate(over="ignore"):
     _SALTS = mix(np.arange(1, REGISTERS + 1, dtype=_U) * _U(0xD6E8FEB86659FD93)) | _U(1)
 
@@ -119,21 +125,27 @@ def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, digests, sigs, bits = [], [], [], []
-            for text in b.column(1):
+            for text in b.column(2):
                 h = shingle_hashes(text.as_py(), width)
                 sizes.append(len(h))
-                digests.append(xxhash.xxh3_128_digest(h.tobytes()))
+                digests.append(digest(h))
                 r = registers(h)
                 sigs.append(r.astype("<u2").tobytes())
                 bits.append(((r & 15).astype(_U).reshape(WORDS, 16) << _SHIFTS).sum(axis=1, dtype=_U).view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "n", "digest", "sig", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bits, pa.list_(pa.int64()))], names=["doc_id", "mark", "n", "digest", "sig", "bits"])
 
     return run
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """doc_id, mark (a hash of the text, which finds a row's text again) and text."""
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
 def signatures(docs: DataFrame, width: int = 5) -> DataFrame:
-    """doc_id, n (set size), digest (of the set), sig (registers) and bits (four of each register) of every document, in one pass over the texts."""
-    return in_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _signatures(width), "doc_id long, n long, digest binary, sig binary, bits array<long>")
+    """doc_id, mark, n (set size), digest (of the set), sig (registers) and bits (four of each register) of every document, in one pass over the texts."""
+    return in_arrow(_plain(docs), _signatures(width), "doc_id long, mark long, n long, digest binary, sig binary, bits array<long>")
 
 
 def accidental(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -169,21 +181,16 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], names=["a", "b"])
 
 
-def _pack(h: np.ndarray) -> bytes:
-    """Five bytes of each hash: a chance agreement of two texts' different shingles is under one in a million pairs."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
 def _unpack(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return np.sort(out.view("<u8").ravel())
+    """A set's sorted hashes, all 64 bits of each."""
+    return np.frombuffer(b, "<u8")
 
 
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_pack(shingle_hashes(t.as_py(), width)) for t in b.column(1)], pa.binary())], names=["id", "items"])
+            found = [shingle_hashes(t.as_py(), width) for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([digest(h) for h in found], pa.binary()), pa.array([h.astype("<u8").tobytes() for h in found], pa.binary())], names=["digest", "items"])
 
     return run
 
@@ -259,7 +266,7 @@ def _blocks(percent: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component): the smallest id reachable over the undirected edges (a, b), for every id of an edge.
+    """(id, component), a stored table: the smallest id reachable over the undirected edges (a, b), for every id of an edge.
 
     Alternates large-star and small-star contractions until the edges no longer change. Each round is two aggregations
     and joins on the edges, written to the shared folder. Ids without an edge are left out; equal ends are ignored."""
@@ -280,28 +287,33 @@ def components(edges: DataFrame) -> DataFrame:
         if mark == before:
             break
         before = mark
-    return now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct()
+    out = written(now.select(F.col("a").alias("id"), F.col("b").alias("component")).union(now.select(F.col("b").alias("id"), F.col("b").alias("component"))).distinct(), "components")
+    removed(spark, now)
+    return out
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+def _salt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int").alias("salt")
 
-    Null and wordless texts: n_shingles 0, a component of their own, kept. Repeated rows of a doc_id give a row each;
-    a null doc_id gives a row with a null component, kept. Columns other than doc_id and text are ignored."""
-    spark = docs.sparkSession
-    sigs = written(signatures(docs, width), "sigs")
-    full = sigs.where("n > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    members = written(full.select("doc_id", "digest").join(classes, "digest").select("doc_id", "rep").distinct(), "members")
-    reps = written(sigs.where("n > 0").join(members.where("doc_id = rep").select(F.col("rep").alias("doc_id")), "doc_id").select(F.col("doc_id").alias("id"), "n", "sig", "bits").dropDuplicates(["id"]), "reps")
 
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+
+def links(docs: DataFrame, sigs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(a, b): confirmed links between classes, enough of them that the classes' components are those of all links.
+
+    ``sigs`` has the signatures of ``docs`` by row, ``classes`` an id and one row of each class; both are stored tables."""
+    spark = docs.sparkSession
+    reps = written(sigs.join(classes.select("id", "row"), "row").select("id", "doc_id", "mark", "digest", "n", "sig", "bits"), "reps")
     bands = reps.select("id", "n", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("band", "bucket"))
     hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("c")).where("c > 1").select("bucket", "hub")
     buckets = written(bands.join(hubs, "bucket"), "buckets")  # only buckets of two and more
 
-    involved = buckets.select("id").distinct()
-    picked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).join(small(involved, most=PICK_ROWS), "id", "left_semi")
-    sets = written(in_arrow(picked, _sets(width), "id long, items binary"), "sets")
+    involved = written(reps.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "mark", "digest"), "involved")
+    picked = _plain(docs).join(small(involved.select("doc_id", "mark")), ["doc_id", "mark"], "left_semi").select("text")
+    hashed = in_arrow(picked, _sets(width), "digest binary, items binary").groupBy("digest").agg(F.first("items").alias("items"))  # rows may be repeated
+    sets = written(hashed.join(involved.select("id", "digest"), "digest").select("id", "items"), "sets")
     sizes, close = reps.select("id", "n", "sig"), f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
 
     def confirmed(pairs: DataFrame) -> DataFrame:
@@ -313,8 +325,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
         removed(spark, p)
         return out
 
-    links = confirmed(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
-    first = written(components(links), "components")
+    to_hubs = confirmed(buckets.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct())
+    first = components(to_hubs)
     # Members of a bucket in other components than most of the bucket, against the bucket.
     placed = buckets.join(first, "id", "left").select("bucket", "band", "id", "n", "hub", F.coalesce("component", "id").alias("component"))
     counts = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
@@ -332,25 +344,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     sides = large.where("minor").withColumns({"side": F.lit(0), "bx": part("nx"), "by": every("ny")}).union(large.withColumns({"side": F.lit(1), "bx": every("nx"), "by": part("ny")}))
     within = sides.drop("nx", "ny").groupBy("bucket", "bx", "by").applyInArrow(_blocks(percent), "a long, b long")
-    more = written(more.union(within), "more")
-    final = components(links.union(more)) if not more.isEmpty() else first
-    label = members.join(final.withColumnRenamed("id", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = sigs.select("doc_id", F.col("n").alias("n_shingles")).join(label, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = written(to_hubs.union(more).union(within), "links")
+    removed(spark, reps, buckets, involved, sets, to_hubs, first, several, more)
+    return out
 
 
-def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which one per component stays (that with the smallest doc_id), all their columns unchanged. Works by
-    doc_id: repeated rows of a doc_id that stays all stay, and rows without a doc_id do. :func:`one_each` works by row."""
-    gone = written(near_duplicates(docs, width, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    kept = docs.join(small(gone, most=PICK_ROWS), F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    return kept
+def _of_one_id(full: DataFrame, classes: DataFrame, repeated: DataFrame) -> DataFrame:
+    """(a, b): the first class of each of the ``repeated`` doc_ids with its other classes."""
+    of = full.select("doc_id", "digest").join(repeated, "doc_id").distinct().join(classes.select("digest", "id"), "digest").select("doc_id", "id", _salt("id"))
+    least = of.groupBy("doc_id").agg(F.min("id").alias("a")).select("doc_id", "a", _every_salt())
+    return of.join(least, ["doc_id", "salt"]).where("id <> a").select("a", F.col("id").alias("b"))
 
 
-def one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept.
+
+    Null and wordless texts: n_shingles 0, a component of their own, kept. Repeated rows of a doc_id give a row each; where
+    their texts differ, the doc_id links them: it and all that any of its texts links with are one component. A null
+    doc_id gives a row with a null component, kept. Columns other than doc_id and text are ignored."""
+    spark = docs.sparkSession
+    sigs = written(signatures(docs, width).withColumn("row", F.monotonically_increasing_id()), "sigs")
+    full = sigs.where("n > 0 and doc_id is not null")
+    # rows of a digest meet in SALTS parts, then the parts
+    parts = full.groupBy("digest", _salt("row")).agg(F.min(F.struct("doc_id", "row", "mark")).alias("m"), F.count("*").alias("c"))
+    groups = parts.groupBy("digest").agg(F.min("m").alias("m"), F.sum("c").alias("c")).select("digest", "m.doc_id", "m.row", "c")
+    # ids in the order of doc_ids, so that the smallest class of a component has its smallest doc_id
+    classes = written(groups.orderBy("doc_id", "row").withColumn("id", F.monotonically_increasing_id()), "classes")
+    found = links(docs, sigs, classes, width, percent)
+    mark = F.xxhash64("digest")
+    repeated = written(full.groupBy("doc_id").agg(F.min(mark).alias("lo"), F.max(mark).alias("hi")).where("lo <> hi").select("doc_id"), "repeated")
+    edges = found if repeated.isEmpty() else found.union(_of_one_id(full, classes, repeated))
+    placed = components(edges)
+    roots = classes.join(placed.select("component").distinct(), F.col("id") == F.col("component")).select("component", F.col("doc_id").alias("root"), _every_salt())
+    named = placed.select("id", "component", _salt("id")).join(roots, ["component", "salt"]).select("id", "root")
+    labels = classes.join(named, "id", "left").where("c > 1 or root is not null").select("digest", F.coalesce("root", "doc_id").alias("component_id"))
+    salted = written(parts.select("digest", "salt").join(labels, "digest"), "labels")
+    removed(spark, classes, found, repeated, placed)
+    out = sigs.select("doc_id", "n", "digest", _salt("row")).join(salted, ["digest", "salt"], "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def deduplicated(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of which one per component of texts stays, all their columns unchanged: that with the smallest doc_id, rows
-    without one last. A row counts by its text, not by its doc_id: repeated rows are copies, whatever their doc_id, and
-    different texts under one doc_id are documents of their own. Rows without a word count as copies only under one doc_id."""
+    without one last. A row counts by its text, not by its doc_id, and goes only where its own text, or one that links with
+    it, stays: repeated rows are copies, whatever their doc_id, and different texts under one doc_id are documents of their
+    own. Rows without a word count as copies only under one doc_id."""
     names = docs.columns
     # rows get their numbers once, in a table: they would change if the scan were planned anew
     rows = written(docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)], F.monotonically_increasing_id().alias("_row")), "rows")
@@ -362,5 +401,5 @@ def one_each(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     placed = placed.select("_row", "_id", group.alias("g"), F.when(group.isNull(), F.col("_id")).alias("h"))
     best = placed.groupBy("g", "h").agg(first.alias("m")).select(F.col("m._row").alias("_best"))
     gone = written(placed.join(best, F.col("_row") == F.col("_best"), "left_anti").select(F.col("_row").alias("_gone")), "gone")
-    kept = rows.join(small(gone, most=PICK_ROWS), F.col("_row") == F.col("_gone"), "left_anti")
+    kept = rows.join(small(gone), F.col("_row") == F.col("_gone"), "left_anti")
     return kept.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(names)])

@@ -9,7 +9,7 @@ Canonical host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-
 Each url gives a candidate key per ending of its host at a dot and per length of path that occurs among the rules. A key
 is hashed to one block of the filter, a few bits of 256, so a lookup touches one row; keys that all bits of pass join the
 rules by equality, which removes the false positives. The filter is made by ``bit_or`` per block, has a fixed size chosen
-from the count of rules, and is broadcast while within ``FILTER_ROWS`` blocks; so is nothing else unless it is small.
+from the count of rules, and is broadcast while its bytes are few; so is nothing else.
 
 Urls on no rule get ``default``. Repeated rules count once; null rule parts never fit. Repeated rows are judged each.
 Columns besides page_id and url are ignored.
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from .common import small, written
 
 #: Blocks of 256 bits (40 bytes as rows) up to which the filter is broadcast, and keys per block.
-FILTER_ROWS, KEYS_PER_BLOCK, BITS = 500_000, 16, 6
+KEYS_PER_BLOCK, BITS = 16, 6
+#: Lengths of rule paths that go into the plan as a constant.
+MANY_LENGTHS = 10_000
 
 
 def host(url: Column) -> Column:
@@ -64,14 +66,13 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     r = rules.where("host is not null and path is not null and host <> ''").select(F.concat_ws(" ", "host", "path").alias("key"), F.concat("host", "path").alias("rule"), F.col("verdict").alias("_verdict"), F.length("path").alias("n"))
     # of rules alike, the one that blocks
     r = written(r.groupBy("key", "rule", "n").agg(F.max("_verdict").alias("_verdict")), "rules")
-    lengths = [x["n"] for x in r.select("n").distinct().orderBy("n").limit(10_001).collect()]
-    if len(lengths) > 10_000:
-        raise ValueError("over 10000 lengths of rule paths")
+    lengths = [x["n"] for x in r.select("n").distinct().orderBy("n").limit(MANY_LENGTHS + 1).collect()]
     count = r.count()
     blocks = max(1, -(-count // KEYS_PER_BLOCK))
-    table = small(bloom(r, blocks), rows=blocks, most=FILTER_ROWS)
+    table = small(bloom(r, blocks), blocks)
     urls = pages.select(F.col("page_id"), host(F.col("url").cast("string")).alias("host"), path(F.col("url").cast("string")).alias("path"))
-    lens = F.array(*[F.lit(n) for n in lengths]).cast("array<int>")
+    # lengths of rule paths as a constant; where there are many, all lengths of the page's own path
+    lens = F.array(*[F.lit(n) for n in lengths]).cast("array<int>") if len(lengths) <= MANY_LENGTHS else F.sequence(F.lit(0), F.char_length("path"))
     parts = F.split("host", r"\.")
     endings = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
     fits = F.filter(lens, lambda n: n <= F.char_length("path"))
@@ -83,7 +84,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFr
     passed = asked.join(table, "block")
     for i in range(4):
         passed = passed.where(F.col(f"w{i}").bitwiseAND(F.col(f"b{i}")) == F.col(f"b{i}"))
-    hits = passed.select("host", "path", "key").join(small(r.select("key", "rule", "_verdict"), rows=count), "key")
+    hits = passed.select("host", "path", "key").join(small(r.select("key", "rule", "_verdict")), "key")
     best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.char_length("rule")).alias("k"), F.when(F.col("_verdict") == "block", 0).otherwise(1).alias("b"), F.col("rule"), F.col("_verdict"))).alias("m"))
     best = best.select(F.col("host").alias("_host"), F.col("path").alias("_path"), F.col("m.rule").alias("rule"), F.col("m._verdict").alias("_verdict"))
     out = urls.join(best, (F.col("host") == F.col("_host")) & (F.col("path") == F.col("_path")), "left")

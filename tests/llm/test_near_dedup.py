@@ -1,7 +1,10 @@
+import os
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import near_dedup as nd
 
@@ -81,10 +84,93 @@ def test_nulls_repeats_clashes_and_empty(spark):
     got = sorted((tuple(r) for r in nd.near_duplicates(df, 4).collect()), key=str)
     assert got == sorted([(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, None, True), (3, 0, 3, True), (4, 1, 4, True)], key=str)
     kept = nd.deduplicated(df)
-    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "3", "4", "None"]
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "3", "4"]
     assert nd.near_duplicates(df.where("doc_id > 99"), 4).count() == 0
 
 
+def brute_rows(rows, width, percent):
+    """Like brute, of rows (doc_id, text) whose doc_ids may be repeated: texts link, and so do the texts of one doc_id."""
+    of = brute(list(enumerate(t for _, t in rows)), width, percent)
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    groups = {}
+    for k, (i, _) in enumerate(rows):
+        if of[k][0]:
+            groups.setdefault(of[k][1], []).append(i)
+    for g in groups.values():
+        for i in g:
+            a, b = root(i), root(g[0])
+            up[max(a, b)] = min(a, b)
+    return sorted((i, of[k][0], root(i) if of[k][0] else i) for k, (i, _) in enumerate(rows))
+
+
+def test_one_doc_id_with_several_texts(spark):
+    one, two = "a b c d e f g h", "p q r s t u v w x y"
+    rows = [(1, one), (5, two), (5, one), (7, two)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("_gone", F.lit(3)).repartition(2)
+    assert [r["component_id"] for r in nd.near_duplicates(df, 4).collect()] == [1, 1, 1, 1]
+    kept = nd.deduplicated(df, 4)
+    assert kept.columns == df.columns and sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, one), (5, two)]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_repeated_ids_match_brute_force(spark, seed):
+    rng = random.Random(seed)
+    rows = [(rng.choice([i, i, rng.randrange(200)]), t) for i, t in corpus(seed)] + [(-7, t) for _, t in corpus(9)[:25]]
+    rows += rng.sample(rows, 30)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in nd.near_duplicates(df, 4).collect())
+    assert got == brute_rows(rows, 4, 80)
+    of = brute(list(enumerate(t for _, t in rows)), 4, 80)
+    left = [(r["doc_id"], r["text"]) for r in nd.deduplicated(df, 4).collect()]
+    groups = {}
+    for k, r in enumerate(rows):
+        groups.setdefault(of[k][1] if of[k][0] else ("", r[0]), []).append(r)
+    assert sorted(i for i, _ in left) == sorted(min(i for i, _ in g) for g in groups.values())
+    assert all(any(x in g for x in left) for g in groups.values())
+
+
+def test_tables_are_removed(spark, sf):
+    from tessella.llm import common
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    folder = common.shared_dir(spark).removeprefix("file://") + f"/tessella/{spark.sparkContext.applicationId}"
+    with common.scratch(spark):
+        before = set(os.listdir(folder)) if os.path.isdir(folder) else set()
+        out = nd.near_duplicates(docs, 4)
+        assert {x.split("-")[0] for x in set(os.listdir(folder)) - before} <= {"sigs", "labels"}
+        out.count()
+    assert set(os.listdir(folder)) <= before
+
+
+def shingles(text, width):
+    return {hash(x) for x in sets(text, width)}
+
+
+def test_recall_of_links(spark, sf):
+    """Every document whose id is divisible by 20 against all rows of the larger table: all its links are inside its component."""
+    docs = spark.read.parquet(sf.replace("sf0.001", "sf0.1") + "/documents.parquet")
+    s = {r["doc_id"]: shingles(r["text"], 4) for r in docs.select("doc_id", "text").collect()}
+    holders = {}
+    for i, x in s.items():
+        for h in x:
+            holders.setdefault(h, []).append(i)
+    label = {r["doc_id"]: r["component_id"] for r in nd.near_duplicates(docs, 4).collect()}
+    found = missed = 0
+    for q in s:
+        if q % 20 == 0:
+            common = Counter(i for h in s[q] for i in holders[h] if i != q)
+            for i, both in common.items():
+                if 100 * both >= 80 * (len(s[q]) + len(s[i]) - both):
+                    found, missed = found + 1, missed + (label[i] != label[q])
+    assert found > 200 and missed == 0
+
+
 def test_signatures_are_unbiased_and_corrected():
     rng = np.random.default_rng(0)
     for n in (4, 40, 900):

@@ -165,7 +165,11 @@ def test_rounding_keeps_words_and_odds(spark):
 def test_mix_odd_rows(spark, odd):
     out = mixing.mixed(odd).collect()
     assert len(out) == len(ODD) and all(r["taken"] == 0 for r in out if r["size"] == 0)
-    assert mixing.repeated(odd).columns == odd.columns
+    clash = odd
+    for c in ("copies", "_n", "_k", "_id", "_size", "_source", "c0"):
+        clash = clash.withColumn(c, F.lit(77))
+    rep = mixing.repeated(clash)
+    assert rep.columns == clash.columns and all(r["_n"] == r["_k"] == r["copies"] == r["c0"] == 77 for r in rep.collect())
     assert mixing.mixed(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
