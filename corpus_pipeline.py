@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import bpe, language_id, mixing, near_dedup, quality_rules, queries
-from tessella.llm.common import written
+from tessella.llm.common import new_path, removed, scratch, stored
 
 #: A document whose best cosine with any language is under this is of no language learnt.
 LEAST_COSINE = 0.25
@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8 or more) stays, whatever doc_ids their rows bear."""
-    return near_dedup.one_each(docs, width=5, percent=80)
+    return near_dedup.deduplicated(docs, width=5, percent=80)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,8 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table."""
+    """All stages over the documents table. What a stage stores on its way, and its input, go once its output is stored."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with scratch(spark):
+            docs = stored(stage(spark, docs, sf_dir), new_path(spark, name))
+        if before is not None:
+            removed(spark, before)
+        before = docs
     return docs
