@@ -225,6 +225,7 @@ class Codec:
             self.bytes[i] = t.encode()
         self.names = [str(i) for i in range(size)]
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
+        self.line_end = d["model"]["vocab"].get(self.letters[10], -1)
         self.kind, self.share = f"<u{self.width}", LEAN if lean else 1
         self.store: dict[str, bytes | None] = {}  # raw ids by piece
 
@@ -255,10 +256,26 @@ class Codec:
             ids = {w: self._raw(v) for w, v in self.trie.encode({w for ws in words.values() for w in ws}).items()}
             self.store |= {p: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for p, ws in words.items()}
         else:
-            keys = list(texts)
-            for s in range(0, len(keys), 2000):
-                for p, e in zip(keys[s : s + 2000], self.tokenizer.encode_batch_fast([texts[p] for p in keys[s : s + 2000]], add_special_tokens=False)):
-                    self.store[p] = self._raw(e.ids)
+            ids = self._by_library({t.removeprefix("\n") for t in texts.values()})
+            line = self._raw([self.line_end])
+            self.store |= {p: line + ids[t[1:]] if t[0] == "\n" else ids[t] for p, t in texts.items()}
+
+    def _by_library(self, pieces: set[str]) -> dict[str, bytes]:
+        """The library's encodings of pieces without line ends and without white space at their ends, but for a leading
+        blank. Pieces go in lines of one text, as no token crosses a line end before a piece."""
+        out: dict[str, bytes] = {}
+        keys = list(pieces)
+        for s in range(0, len(keys), 10_000):
+            part = keys[s : s + 10_000]
+            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.kind)
+            ends = np.flatnonzero(ids == self.line_end)
+            if len(ends) != len(part) - 1:
+                raise ValueError("the tokenizer joins line ends with other text")
+            data, at = ids.tobytes(), 0
+            for p, e in zip(part, [*(ends * self.width).tolist(), len(data)]):
+                out[p] = data[at:e]
+                at = e + self.width
+        return out
 
     def _slow(self, text: str) -> np.ndarray:
         if not self.trie:
@@ -289,7 +306,7 @@ class Codec:
         cut: list[list[str] | None] = []
         new: set[str] = set()
         for t in texts:
-            if not t or self.split and self.split.search(t):
+            if not t or "\0" in t or self.split and self.split.search(t):  # NUL marks the first piece of a text
                 cut.append(None)
             else:
                 pieces = t.replace("\n", " \n").split(" ")
@@ -356,22 +373,41 @@ def round_trips(docs: DataFrame, path: str) -> DataFrame:
     return in_arrow(src, _digests(definition(path), _digest), f"doc_id {src.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def encoded(docs: DataFrame, path: str, engine: str = "trie") -> DataFrame:
-    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name. A task keeps small stores
-    and gives them back at its end."""
+def encoded(docs: DataFrame, path: str, engine: str = "trie", decode: bool = False) -> DataFrame:
+    """All columns of ``docs``, with ``ids`` (array of int) in place of a column of that name. With ``decode`` the text is
+    given back as decoded from the ids (null texts: empty). A task keeps small stores and gives them back at its end."""
     text, cols = definition(path), [c for c in docs.columns if c != "ids"]
-    plain = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
     at = cols.index("text")
+    plain = docs.select(*[(F.col("text").cast("string") if i == at else F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(text, engine, lean=True)
         for b in batches:
             for s in range(0, b.num_rows, 500):
                 p = b.slice(s, 500)
-                ids = [x.astype(np.int32) for x in c.encode_batch(t.as_py() for t in p.column(at))]
-                yield pa.RecordBatch.from_arrays([*p.columns, pa.array(ids, pa.list_(pa.int32()))], names=[*p.schema.names, "ids"])
+                raw = list(c.encode_batch(t.as_py() for t in p.column(at)))
+                kept = [pa.array([c.decode_bytes(x.tolist()).decode() for x in raw], pa.string()) if decode and i == at else x for i, x in enumerate(p.columns)]
+                yield pa.RecordBatch.from_arrays([*kept, pa.array([x.astype(np.int32) for x in raw], pa.list_(pa.int32()))], names=[*p.schema.names, "ids"])
         del c
         release()
 
     ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
     return in_arrow(plain, run, f"{ddl}, ids array<int>").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "ids")
+
+
+def decoded(tokens: DataFrame, path: str) -> DataFrame:
+    """All columns of ``tokens``, with ``text``, decoded from ``ids`` (null: empty), in place of a column of that name. Ids
+    that the tokenizer does not have fail."""
+    definition_, cols = definition(path), [c for c in tokens.columns if c != "text"]
+    at = cols.index("ids")
+    plain = tokens.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(cols)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(definition_, lean=True)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([c.decode_bytes(x.as_py() or []).decode() for x in b.column(at)], pa.string())], names=[*b.schema.names, "text"])
+        del c
+        release()
+
+    ddl = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in plain.schema.fields)
+    return in_arrow(plain, run, f"{ddl}, text string").select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "text")

@@ -7,6 +7,7 @@ import ctypes
 import math
 import tempfile
 import uuid
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -119,14 +120,16 @@ def checksum_bucket(key: Column, modulus: int) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % F.lit(modulus)
 
 
-def block_starts(df: DataFrame, key: str, blocks: int) -> list[int]:
+def block_starts(df: DataFrame, key: str, blocks: int, alone: bool = False) -> list[int]:
     """Up to ``blocks`` ascending values of ``key`` that cut it into ranges of about equal row counts. The first is the
-    least value. A mergeable quantile sketch over all rows; empty without keys."""
+    least value; all are keys, but that with ``alone`` a key that fills a range has one to itself. A mergeable quantile sketch
+    over all rows; empty without keys."""
     parts = [i / blocks for i in range(1, blocks)] or [0.5]
     row = df.agg(F.min(key).alias("least"), F.percentile_approx(key, parts, max(20_000, 10 * blocks)).alias("cuts")).first()
     if row is None or row["least"] is None:
         return []
-    return sorted({row["least"], *row["cuts"]})
+    cuts = [row["least"], *row["cuts"]]
+    return sorted({*cuts, *(k + 1 for k, c in Counter(cuts).items() if alone and c > 1 and k < 2**63 - 1)})
 
 
 def block_of(key: Column, starts: Sequence[int]) -> Column:

@@ -1,8 +1,8 @@
 """Licence scans: normalised text against licence templates by the Dice coefficient over word bigrams.
 
 Words are runs of letters and digits, lower-cased; a text's bigrams are the distinct pairs of neighbouring words. A template
-is compared with the whole text, and with the window of as many words as the template has that holds most of its bigrams
-(the first of equals), so a licence inside a longer document is found. Size bounds prune templates: with b bigrams in
+is compared with the whole text and with every window of as many words as the template has, so a licence inside a longer
+document is found; the best place counts, the first of equals. Size bounds prune templates: with b bigrams in
 the text and t in the template, the coefficient cannot reach the threshold d where 2 * min(b, t) < d * (b + t) (for whole
 texts), where b * (2 - d) < d * t (a shorter text than the window), or where the text has too few of its bigrams at all.
 
@@ -32,10 +32,15 @@ TEMPLATES = {
     "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."],
     "BSD-2-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."],
     "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "All-Rights-Reserved": ["All rights reserved."],
 }
@@ -45,6 +50,27 @@ def words(text: str | None) -> list[str]:
     return _WORDS.findall((text or "").lower())
 
 
+def _before(codes: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same number, else -1."""
+    order = np.argsort(codes, kind="stable")
+    again = codes[order[1:]] == codes[order[:-1]]
+    out = np.full(len(codes), -1)
+    out[order[1:][again]] = order[:-1][again]
+    return out
+
+
+def _distinct(before: np.ndarray, n: int, among: np.ndarray | None = None) -> np.ndarray:
+    """How many distinct numbers (``among`` some places) each window of ``n`` places holds. A place is the first of its
+    number in the windows that start after the place before it with that number."""
+    at = np.arange(len(before)) if among is None else np.flatnonzero(among)
+    windows = len(before) - n + 1
+    first = np.maximum(np.maximum(before[at] + 1, at - n + 1), 0)
+    last = np.minimum(at, windows - 1)
+    ok = first <= last
+    change = np.bincount(first[ok], minlength=windows + 1) - np.bincount(last[ok] + 1, minlength=windows + 1)
+    return np.cumsum(change)[:windows]
+
+
 class Scanner:
     """Templates prepared for scanning: (name, words, distinct bigrams)."""
 
@@ -75,7 +101,7 @@ class Scanner:
         found = np.unique(codes[hits])
         foreign: dict[tuple[str, str], int] = {}  # all bigrams need numbers to count distinct ones
         d = self.least
-        whole = None
+        whole = before = None
         for name, k, grams in self.templates:
             t, common = len(grams), len(np.intersect1d(found, grams, assume_unique=True))
             # a window holds at most k - 1 bigrams; common ones bound the coefficient in any place
@@ -85,13 +111,13 @@ class Scanner:
                 whole = np.array([c if c >= 0 else -1 - foreign.setdefault(p, len(foreign)) for c, p in zip(codes.tolist(), zip(ws, ws[1:]))])
                 distinct = len(np.unique(whole))
             best = (2 * common / (distinct + t), 0, len(ws))
+            if before is None:
+                before = _before(whole)
             n = min(k - 1, len(codes))
             mine = np.isin(codes, grams)
-            total = np.concatenate(([0], np.cumsum(mine)))
-            start = int((total[n:] - total[:-n]).argmax())
-            part = whole[start : start + n]
-            here = len(np.unique(part[mine[start : start + n]]))
-            best = max(best, (2 * here / (len(np.unique(part)) + t), start, n + 1), key=lambda x: x[0])
+            score = 2 * _distinct(before, n, mine) / (_distinct(before, n) + t)
+            start = int(score.argmax())
+            best = max(best, (float(score[start]), start, n + 1), key=lambda x: x[0])
             if best[0] >= d and best[0] > out.get(name, (0.0,))[0]:
                 out[name] = best
         return out

@@ -121,7 +121,8 @@ def fitted(measures: DataFrame, labels: DataFrame) -> Model:
     y = labels.where("y in (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("y").cast("int")).alias("y"))
     rows = measures.join(small(written(y, "labels")), F.col("doc_id") == F.col("_id")).select("x", "y")
     parts = rows.mapInArrow(_moments, "y int, m array<double>").select("y", F.posexplode("m").alias("i", "v"))
-    sums = parts.groupBy("y", "i").agg(F.sum("v").alias("v")).collect()  # two rows of a fixed length
+    # rounded before they are added, so that the order in which tasks arrive does not matter
+    sums = parts.groupBy("y", "i").agg(F.sum(F.round("v", 6).cast("decimal(38,6)")).cast("double").alias("v")).collect()  # two rows of a fixed length
     out = {0: np.zeros(1 + len(FEATURES) * (1 + len(FEATURES))), 1: np.zeros(1 + len(FEATURES) * (1 + len(FEATURES)))}
     for r in sums:
         out[r["y"]][r["i"]] = r["v"]
