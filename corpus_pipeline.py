@@ -37,8 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All columns but the text, and the text's ids and their count."""
-    return bpe.encoded(docs, queries.byte_bpe()).withColumn("n_tokens", F.size("ids")).drop("text")
+    """All columns, the text as decoded from its ids, and those ids and their count."""
+    return bpe.encoded(docs, queries.byte_bpe(), decode=True).withColumn("n_tokens", F.size("ids"))
 
 
 STAGES = [("language_id", language), ("quality_rules", quality), ("near_dedup", near_duplicates), ("source_mixing", mix), ("bpe", encode)]
