@@ -22,6 +22,7 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+import os
 import re
 import struct
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -30,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,7 +42,9 @@ from .common import in_arrow, trimmed
 STORE = 1_000_000
 PAIRS = 500_000
 #: Characters whose words are encoded together.
-CHUNK = 2_000_000
+CHUNK = 4_000_000
+#: Pieces that the library encodes as lines of one text.
+LINES = 200
 #: A lean worker's share of both, for tasks that share executors with other operators' workers.
 LEAN = 5
 
@@ -204,6 +208,7 @@ class Codec:
 
         d = json.loads(definition)
         if engine == "library":
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
             self.tokenizer = Tokenizer.from_str(definition)
             self.tokenizer.no_truncation()
             self.tokenizer.no_padding()
@@ -227,7 +232,7 @@ class Codec:
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.line_end = d["model"]["vocab"].get(self.letters[10], -1)
         self.kind, self.share = f"<u{self.width}", LEAN if lean else 1
-        self.store: dict[str, bytes | None] = {}  # raw ids by piece
+        self.store: dict[str, bytes | bool] = {}  # raw ids by piece
 
     def _raw(self, ids: Sequence[int]) -> bytes:
         return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
@@ -238,43 +243,42 @@ class Codec:
             return [w.encode().decode("latin-1").translate(self.letters_of) for w in _WORDS.findall(text)]
         return [w for w, _ in self.cut(text)]
 
-    def _learn(self, pieces: set[str]) -> None:
-        """Puts the encodings of pieces into the store; None for a piece with white space at an end."""
-        pieces = {p for p in pieces if p not in self.store}
-        if len(self.store) + len(pieces) > STORE // self.share:
-            self.store.clear()
-        texts: dict[str, str] = {}
+    def _learn(self, pieces: Iterable[str]) -> None:
+        """Puts the encodings of pieces into the store; False for a piece with white space at an end."""
+        keys, texts = [], []
         for p in pieces:
             # "\nword" follows a line end, "\0word" starts a text, and any other piece follows a blank
-            body = p[1:] if p[:1] in "\n\0" and p else p
-            if not body or body != body.strip() or body[0].isspace() or body[-1].isspace():
-                self.store[p] = None
+            own = p[:1] in "\n\0"
+            body = p[1:] if own else p
+            if not body or body[0].isspace() or body[-1].isspace():
+                self.store[p] = False
             else:
-                texts[p] = p if p[0] == "\n" else body if p[0] == "\0" else " " + p
-        if self.trie:
-            words = {p: self._words(t) for p, t in texts.items()}
-            ids = {w: self._raw(v) for w, v in self.trie.encode({w for ws in words.values() for w in ws}).items()}
-            self.store |= {p: ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for p, ws in words.items()}
-        else:
-            ids = self._by_library({t.removeprefix("\n") for t in texts.values()})
-            line = self._raw([self.line_end])
-            self.store |= {p: line + ids[t[1:]] if t[0] == "\n" else ids[t] for p, t in texts.items()}
-
-    def _by_library(self, pieces: set[str]) -> dict[str, bytes]:
-        """The library's encodings of pieces without line ends and without white space at their ends, but for a leading
-        blank. Pieces go in lines of one text, as no token crosses a line end before a piece."""
-        out: dict[str, bytes] = {}
-        keys = list(pieces)
-        for s in range(0, len(keys), 10_000):
-            part = keys[s : s + 10_000]
-            ids = np.array(self.tokenizer.encode("\n".join(part), add_special_tokens=False).ids, self.kind)
-            ends = np.flatnonzero(ids == self.line_end)
-            if len(ends) != len(part) - 1:
-                raise ValueError("the tokenizer joins line ends with other text")
-            data, at = ids.tobytes(), 0
-            for p, e in zip(part, [*(ends * self.width).tolist(), len(data)]):
-                out[p] = data[at:e]
-                at = e + self.width
+                keys.append(p)
+                texts.append(body if own else " " + p)
+        line = self._raw([self.line_end])
+        self.store.update((p, line + r if p[0] == "\n" else r) for p, r in zip(keys, self._by_trie(texts) if self.trie else self._by_library(texts)))
+
+    def _by_trie(self, texts: list[str]) -> list[bytes]:
+        words = list(map(self._words, texts))
+        ids = {w: self._raw(v) for w, v in self.trie.encode(set(chain.from_iterable(words))).items()}
+        return [ids[ws[0]] if len(ws) == 1 else b"".join(map(ids.__getitem__, ws)) for ws in words]
+
+    def _by_library(self, texts: list[str]) -> list[bytes]:
+        """The library's encodings of texts without line ends and without white space at their ends, but for a leading blank.
+        They go in lines of longer texts, as no token crosses a line end before them."""
+        out: list[bytes] = []
+        parts = [texts[s : s + LINES] for s in range(0, len(texts), LINES)]
+        for s in range(0, len(parts), 50):
+            for part, e in zip(parts[s : s + 50], self.tokenizer.encode_batch_fast(["\n".join(p) for p in parts[s : s + 50]], add_special_tokens=False)):
+                ids = np.array(e.ids, self.kind)
+                ends = np.flatnonzero(ids == self.line_end)
+                if len(ends) != len(part) - 1:
+                    raise ValueError("the tokenizer joins line ends with other text")
+                data, at = ids.tobytes(), 0
+                for end in (ends * self.width).tolist():
+                    out.append(data[at:end])
+                    at = end + self.width
+                out.append(data[at:])
         return out
 
     def _slow(self, text: str) -> np.ndarray:
@@ -303,27 +307,36 @@ class Codec:
         yield from self._encoded(chunk)
 
     def _encoded(self, texts: list[str]) -> Iterator[np.ndarray]:
-        cut: list[list[str] | None] = []
-        new: set[str] = set()
-        for t in texts:
-            if not t or "\0" in t or self.split and self.split.search(t):  # NUL marks the first piece of a text
-                cut.append(None)
+        plain = [bool(t) and "\0" not in t and not (self.split and self.split.search(t)) for t in texts]  # NUL marks the first piece of a text
+        if any(plain):
+            cut = pc.split_pattern(pa.array(["\0" + t.replace("\n", " \n") for t, ok in zip(texts, plain) if ok], pa.large_string()), " ")
+            words = cut.values.dictionary_encode()
+            distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+            raw = list(map(self.store.get, distinct))
+            new = [i for i, r in enumerate(raw) if r is None]
+            if len(self.store) + len(new) > STORE // self.share:
+                self.store.clear()
+            self._learn([distinct[i] for i in new])
+            for i in new:
+                raw[i] = self.store[distinct[i]]
+            odd = np.array([r is False for r in raw])  # white space that only the pre-tokenizer can split
+            flat = np.frombuffer(b"".join(r or b"" for r in raw), self.kind)
+            sizes = np.array([len(r) if r else 0 for r in raw]) // self.width
+            first = (np.cumsum(sizes) - sizes)[at]
+            sizes = sizes[at]
+            upto = np.cumsum(sizes)
+            ids = flat[np.repeat(first - upto + sizes, sizes) + np.arange(upto[-1])]
+            begins = cut.offsets.to_numpy()[:-1]
+            slow = np.logical_or.reduceat(odd[at], begins).tolist()
+            ends = np.append(upto[begins[1:] - 1], upto[-1]).tolist()
+            starts = [0, *ends[:-1]]
+        k = 0
+        for t, ok in zip(texts, plain):
+            if ok:
+                yield self._slow(t) if slow[k] else ids[starts[k] : ends[k]]
+                k += 1
             else:
-                pieces = t.replace("\n", " \n").split(" ")
-                pieces[0] = "\0" + pieces[0] if pieces[0][:1] != "\n" else ""
-                cut.append(pieces)
-                new.update(pieces)
-        if any(p not in self.store for p in new):
-            self._learn(new)
-        get = self.store.__getitem__
-        for t, pieces in zip(texts, cut):
-            if pieces is None:
                 yield self._slow(t) if t else np.empty(0, self.kind)
-                continue
-            try:
-                yield np.frombuffer(b"".join(map(get, pieces)), self.kind)
-            except (TypeError, KeyError):  # white space that only the pre-tokenizer can split
-                yield self._slow(t)
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         """The decoded text in UTF-8; bytes that are none become replacement characters."""
