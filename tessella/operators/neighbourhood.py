@@ -108,35 +108,37 @@ def distance_map(mask: DataFrame, area: DataFrame, limit: int) -> DataFrame:
 def fill_holes(px: DataFrame, stock: DataFrame, mask: DataFrame, rounds: int = 40, least: int = 3) -> DataFrame:
     """Holes (not opaque now, opaque in stock) filled from three and more effect neighbours of eight (opaque, outside the mask) with their
     commonest pixel, the first in order of columns then rows of equals; a round reads the one before it, filled pixels count as effect. A
-    frame is filled in one task, as rounds follow each other."""
-    import numpy as np
-    import pandas as pd
-
-    cols = list(RGBA)
+    frame is filled in one task, as dense arrays, since rounds follow each other."""
     j = px.join(stock.select("frame", "x", "y", C("a").alias("_s")), ["frame", "x", "y"], "left").join(mask.select("frame", "x", "y", F.lit(1).alias("_m")).distinct(), ["frame", "x", "y"], "left")
     j = j.select("frame", "x", "y", *RGBA, F.coalesce("_s", F.lit(0)).alias("_s"), F.coalesce("_m", F.lit(0)).alias("_m"))
+    return j.groupBy("frame").applyInPandas(lambda pdf: _filled(pdf, rounds, least), "frame bigint, x int, y int, r int, g int, b int, a int")
+
+
+def _filled(pdf, rounds: int, least: int):
+    """One frame: a plane of packed pixels with a margin, -1 where nothing may be copied from."""
+    import numpy as np
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        at = {(x, y): i for i, (x, y) in enumerate(zip(pdf["x"], pdf["y"]))}
-        rgba = [tuple(v) for v in pdf[cols].to_numpy().tolist()]
-        effect = [p[3] >= 128 and not m for p, m in zip(rgba, pdf["_m"])]
-        holes = {xy for xy, i in at.items() if rgba[i][3] < 128 and pdf["_s"].iat[i] >= 128}
-        for _ in range(rounds):
-            fill = {}
-            for x, y in holes:
-                near = [rgba[at[n]] for i in (-1, 0, 1) for k in (-1, 0, 1) if (i or k) and (n := (x + i, y + k)) in at and effect[at[n]]]
-                if len(near) >= least:
-                    fill[x, y] = max(dict.fromkeys(near), key=near.count)
-            if not fill:
-                break
-            for xy, c in fill.items():
-                rgba[at[xy]], effect[at[xy]] = c, True
-            holes -= fill.keys()
-        out = pdf[["frame", "x", "y"]].copy()
-        out[cols] = np.array(rgba, np.int32).reshape(-1, 4)
-        return out
-
-    return j.groupBy("frame").applyInPandas(one, "frame bigint, x int, y int, r int, g int, b int, a int")
+    x, y = (pdf[c].to_numpy() - pdf[c].min() + 1 for c in "xy")
+    packed = pdf[list(RGBA)].to_numpy(np.int64) @ np.array([1 << 24, 1 << 16, 1 << 8, 1])
+    solid = pdf["a"].to_numpy() >= 128
+    source = np.full((x.max() + 2, y.max() + 2), -1, np.int64)
+    source[x, y] = np.where(solid & (pdf["_m"].to_numpy() == 0), packed, -1)
+    open_ = np.flatnonzero(~solid & (pdf["_s"].to_numpy() >= 128))
+    steps = np.array([(i, k) for i in (-1, 0, 1) for k in (-1, 0, 1) if i or k])
+    for _ in range(rounds):
+        around = source[x[open_, None] + steps[:, 0], y[open_, None] + steps[:, 1]]
+        there = around >= 0
+        votes = ((around[:, :, None] == around[:, None, :]) & there[:, None, :]).sum(axis=2) * there
+        ready = there.sum(axis=1) >= least
+        if not ready.any():
+            break
+        won, now = around[np.arange(len(open_)), votes.argmax(axis=1)][ready], open_[ready]
+        packed[now] = source[x[now], y[now]] = won
+        open_ = open_[~ready]
+    out = pdf[["frame", "x", "y"]].copy()
+    for k, c in enumerate(RGBA):
+        out[c] = (packed >> (24 - 8 * k)) & 255
+    return out
 
 
 def textured(a: DataFrame, b: DataFrame, dx: int = 0, dy: int = 0) -> DataFrame:

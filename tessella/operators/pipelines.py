@@ -73,49 +73,70 @@ def pixelize(px: DataFrame, width: int, height: int, colours: int, palette: Data
     return palette_ops.reduce_colours(small, colours)
 
 
+def walk(sequences: dict[int, list[int]], settled: set[int], keys: dict[int, int]) -> dict[int, tuple[int | None, int]]:
+    """{frame: (the frame it is carried from, or None; its level)} of frames not settled yet, animations in order: a frame follows the one before it in its
+    animation. An animation without a settled frame is walked as a loop from its key. Settled frames are level 0."""
+    level, out = dict.fromkeys(settled, 0), {}
+    for a in sorted(sequences):
+        fs = sequences[a]
+        if a in keys and not level.keys() & set(fs):
+            at = fs.index(keys[a])
+            fs = fs[at:] + fs[:at]
+        last = None
+        for f in fs:
+            if f not in level:
+                level[f] = 0 if last is None else level[last] + 1
+                out[f] = (last, level[f])
+            last = f
+    return out
+
+
 def smooth(stock: DataFrame, drawn: DataFrame, crops: DataFrame, steps: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """Finished frames: within each animation, in play order, a frame takes over what the one before it settled wherever the stock did not change.
 
     An animation that has no settled frame starts at its medoid, which is taken as drawn; frames settled before stay. Animations are walked in order, as one
-    settles frames for the next. The walk is a plan of (frame, from) pairs made on the driver from the step table (a few rows per frame);
-    pixels stay distributed, and all frames that only wait for settled ones are carried at once."""
+    settles frames for the next. The walk is made on the driver from the step table (a few rows per frame). Shifts between neighbours hang on the stock
+    alone, so all are found at once, and with their sums every frame gets the coordinates of the first frame of its chain: what a pixel may take over
+    stands at its own place there. So the fold over the frames needs one shuffle, by chain and row of pixels; a task holds one row of a chain's frames."""
     have = {r["frame"] for r in drawn.select("frame").distinct().collect()}
     seq: dict[int, list[int]] = {}
     for r in animations.played(steps).orderBy("anim", "step").collect():
         if r["frame"] in have and r["frame"] not in seq.setdefault(r["anim"], []):
             seq[r["anim"]].append(r["frame"])
-    px_of_drawn = drawn.select("frame", "x", "y", *RGBA)
-    done = settled.select("frame", "x", "y", *RGBA) if settled is not None else px_of_drawn.limit(0)
-    fixed = {r["frame"] for r in done.select("frame").distinct().collect()} if settled is not None else set()
-    spark = stock.sparkSession
-    rows = [(a, i, f) for a, fs in seq.items() for i, f in enumerate(fs)]
-    key = {}
-    if rows:
-        order = spark.createDataFrame(rows, "anim int, step int, frame bigint")
-        key = {r["anim"]: r["frame"] for r in alignment.medoids(px_of_drawn, order, crops, reach=3).collect()}
-    level, before, known = {f: 0 for f in fixed}, {}, set(fixed)
+    spark, px_of_drawn = stock.sparkSession, drawn.select("frame", "x", "y", *RGBA)
+    fixed = {r["frame"] for r in settled.select("frame").distinct().collect()} if settled is not None else set()
+    known, unkeyed = set(fixed), []
     for a in sorted(seq):
-        fs = seq[a]
-        if not any(f in known for f in fs) and a in key:
-            at = fs.index(key[a])
-            fs = fs[at:] + fs[:at]
-        last = None
-        for f in fs:
-            if f not in known:
-                level[f], before[f] = (0, None) if last is None else (level[last] + 1, last)
-                known.add(f)
-            last = f
-    mask = masks.box_masks(stock, crops)
-    first = [f for f, b in before.items() if b is None]
-    done = done.unionByName(px_of_drawn.where(C("frame").isin(first)))
-    for n in range(1, max(level.values(), default=0) + 1):
-        pairs = [(f, before[f]) for f in level if level[f] == n and before.get(f) is not None]
-        if not pairs:
-            continue
-        p = spark.createDataFrame(pairs, "f bigint, g bigint")
-        shifts = alignment.best_shift(stock, stock, alignment.starts(p, crops), 3)
-        done = done.unionByName(alignment.carry(stock, px_of_drawn, done, mask, shifts).drop("state"))
-    return done
+        if seq[a] and not known & set(seq[a]):
+            unkeyed.append(a)
+        known |= set(seq[a])
+    keys = {}
+    if unkeyed:
+        order = spark.createDataFrame([(a, i, f) for a in unkeyed for i, f in enumerate(seq[a])], "anim int, step int, frame bigint")
+        keys = {r["anim"]: r["frame"] for r in alignment.medoids(px_of_drawn, order, crops, reach=3).collect()}
+    todo = walk(seq, fixed, keys)
+    done = settled.select("frame", "x", "y", *RGBA) if settled is not None else px_of_drawn.limit(0)
+    pairs = [(f, g) for f, (g, _) in todo.items() if g is not None]
+    shifts = spark.createDataFrame(pairs, "f bigint, g bigint")
+    if pairs:
+        begin = alignment.starts(shifts, crops)
+        best = alignment.best_shift(stock, stock, begin, 3).select("f", C("dx").alias("bx"), C("dy").alias("by"))
+        shifts = shifts.join(begin.select("f", "sx", "sy"), "f", "left").join(best, "f", "left").select("f", "g", *[F.coalesce(f"b{k}", f"s{k}", F.lit(0)).alias(f"d{k}") for k in "xy"])
+    rows = {r["f"]: r for r in shifts.collect()}  # a row per frame
+    root: dict[int, tuple[int, int, int]] = {}
+    for f, (g, _) in sorted(todo.items(), key=lambda t: t[1][1]):
+        r = rows.get(f)
+        at = root.get(g, (g, 0, 0)) if r else (f, 0, 0)
+        root[f] = (at[0], at[1] + r["dx"], at[2] + r["dy"]) if r else at
+    heads = {g for g, _ in todo.values() if g is not None and g not in root}
+    plan = [(f, *root[f], level, g) for f, (g, level) in todo.items()] + [(g, g, 0, 0, 0, None) for g in heads]
+    plan = spark.createDataFrame(plan, "frame bigint, chain bigint, ox int, oy int, level int, before bigint")
+    known = spark.createDataFrame([(f, r["g"], r["dx"], r["dy"]) for f, r in rows.items()], "f bigint, g bigint, dx int, dy int")
+    asked = alignment.carried(stock, px_of_drawn, masks.box_masks(stock, crops), known).select("frame", "x", "y", "may", "sure")
+    pixels = px_of_drawn.join(spark.createDataFrame([(f,) for f in todo], "frame bigint"), "frame").unionByName(done.join(spark.createDataFrame([(f,) for f in heads], "frame bigint"), "frame"))
+    pixels = pixels.join(asked, ["frame", "x", "y"], "left").join(plan, "frame").withColumns({"may": F.coalesce("may", F.lit(False)), "sure": F.coalesce("sure", F.lit(False)), "cx": C("x") - C("ox"), "cy": C("y") - C("oy")})
+    folded = pixels.groupBy("chain", "cy").applyInPandas(lambda pdf: alignment.fold_rows(pdf), "frame bigint, x int, y int, r int, g int, b int, a int")
+    return done.unionByName(folded.join(spark.createDataFrame([(f,) for f in todo], "frame bigint"), "frame", "left_semi"))
 
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:

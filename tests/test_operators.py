@@ -310,6 +310,135 @@ def test_smooth_carries_unchanged(spark):
     assert {r["r"] for r in out.collect()} == {50} and out.count() == 72
 
 
+def _slow_smooth(stock, drawn, boxes, seqs):
+    """Frames as dicts of places, carried one after the other."""
+    zero = (0, 0, 0, 0)
+    on = lambda p: p[3] >= 128
+    same = lambda p, q: sum(abs(p[i] - q[i]) for i in range(3)) <= 30 if on(p) and on(q) else on(p) == on(q)
+    close = lambda p, q: sum((p[i] - q[i]) ** 2 for i in range(3)) <= 64 * 64 if on(p) and on(q) else on(p) == on(q)
+
+    def shift(a, f, b, g):
+        foot = lambda k: (boxes[k][0] + boxes[k][2] // 2, boxes[k][1] + boxes[k][3])
+        sx, sy = foot(f)[0] - foot(g)[0], foot(f)[1] - foot(g)[1]
+        best = None
+        for dy in range(sy - 3, sy + 4):
+            for dx in range(sx - 3, sx + 4):
+                n = bad = 0
+                for (x, y), p in a[f].items():
+                    q = b[g].get((x - dx, y - dy), zero)
+                    if on(p) or on(q):
+                        n, bad = n + 1, bad + (not same(p, q))
+                if n and (best is None or bad / n < best[0]):
+                    best = (bad / n, dx, dy)
+        return best
+
+    done = {}
+    for seq in seqs:
+        if not set(seq) & set(done):
+            pick = seq if len(seq) <= 10 else [seq[i * len(seq) // 10] for i in range(10)]
+            totals = [(round(sum(shift(drawn, f, drawn, g)[0] for g in pick if g != f), 12), k) for k, f in enumerate(pick)]
+            at = seq.index(pick[min(totals)[1]])
+            seq = seq[at:] + seq[:at]
+        prev = None
+        for f in seq:
+            if f not in done:
+                done[f] = dict(drawn[f])
+                if prev is not None:
+                    _, dx, dy = shift(stock, f, stock, prev)
+                    x0, y0, w, h = boxes[f]
+                    for (x, y), p in drawn[f].items():
+                        if not (x0 <= x < x0 + w and y0 <= y < y0 + h and on(stock[f][x, y])):
+                            continue
+                        was = done[prev].get((x - dx, y - dy), zero)
+                        around = [(x + i, y + k) for i in (-1, 0, 1) for k in (-1, 0, 1)]
+                        patch = [stock[f].get(q, zero) for q in around]
+                        sure = len(set(patch)) >= 3 and patch == [stock[prev].get((u - dx, v - dy), zero) for u, v in around]
+                        if same(stock[f][x, y], stock[prev].get((x - dx, y - dy), zero)) and (close(p, was) or sure):
+                            done[f][x, y] = was
+            prev = f
+    return done
+
+
+def test_smooth_matches_a_walk(spark):
+    """Forty frames in three animations that share some, each a moved and changed body."""
+    import random
+
+    rng = random.Random(8)
+    base = {(x, y): (rng.choice([40, 90, 200]), rng.choice([30, 160]), 60, 255) for x in range(2, 6) for y in range(2, 7)}
+    stock, drawn = {}, {}
+    for f in range(40):
+        mx, my = rng.randrange(-1, 2), rng.randrange(-1, 2)
+        body = {(x + mx, y + my): c if rng.random() < 0.9 else (250, 0, 0, 255) for (x, y), c in base.items()}
+        stock[f] = {(x, y): body.get((x, y), (0, 0, 0, 0)) for x in range(8) for y in range(9)}
+        drawn[f] = {k: tuple(min(255, v + rng.choice([0, 10, 45])) for v in c[:3]) + (c[3],) if rng.random() < 0.97 else (9, 9, 9, 255) for k, c in stock[f].items()}
+    seqs = [rng.sample(range(25), 14), rng.sample(range(26, 40), 13), [3, *rng.sample(range(20, 40), 8)]]
+    table = lambda d: px_of(spark, [(f, x, y, *c) for f, m in d.items() for (x, y), c in m.items()])
+    played = sorted({f for q in seqs for f in q})
+    s, g = table(stock), table({f: drawn[f] for f in played})
+    boxes = {r["frame"]: (r["cx"], r["cy"], r["cw"], r["ch"]) for r in layout.boxes(s).collect()}
+    steps = spark.createDataFrame([(a, i, f, 0, 0, 0, len(q) - 1) for a, q in enumerate(seqs) for i, f in enumerate(q)], "anim int, step int, frame int, x int, y int, z int, last int")
+    got = {}
+    for r in pipelines.smooth(s, g, layout.boxes(s), steps).collect():
+        got.setdefault(r["frame"], {})[r["x"], r["y"]] = tuple(r[c] for c in ("r", "g", "b", "a"))
+    want = _slow_smooth(stock, drawn, boxes, seqs)
+    assert got.keys() == want.keys() and all(got[f] == want[f] for f in want)
+    half = {f: want[f] for f in seqs[1][4:6]}  # frames settled before stay
+    again = pipelines.smooth(s, g, layout.boxes(s), steps, settled=table(half))
+    assert {(r["frame"], r["x"], r["y"]): r["r"] for r in again.where(again.frame.isin(list(half))).collect()} == {(f, *k): c[0] for f, m in half.items() for k, c in m.items()}
+    assert again.count() == 72 * len(played)
+
+
+def test_sheet_plan_against_counting():
+    """Rows and greedy cuts as counted frame by frame."""
+    import random
+
+    rng = random.Random(2)
+    for _ in range(60):
+        frames = [(rng.randrange(4), f, rng.randrange(5, 90), rng.randrange(5, 90)) for f in range(rng.randrange(1, 25))]
+        out = layout.plan(frames, 3, 400, 4)
+        size = {f: (w, h) for _, f, w, h in frames}
+        assert sorted(f for fs, _ in out for f in fs) == [f for _, f, _, _ in frames]
+        for fs, rows_ in out:
+            assert fs == sorted(fs)
+            good = []
+            for r in (1, 2, 3):
+                per = -(-len(fs) // r)
+                lines = [fs[i : i + per] for i in range(0, len(fs), per)]
+                wide = max(sum(size[f][0] for f in x) + 4 * (len(x) - 1) for x in lines)
+                high = sum(max(size[f][1] for f in x) for x in lines) + 4 * (len(lines) - 1)
+                good += [r] if max(wide, high) * 3 <= 400 and r <= len(fs) else []
+            assert rows_ == (good[0] if good else None)
+
+
+def test_holes_fill_in_rounds(spark):
+    """Against a walk over places, with ties, masks and more rounds than one."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(3):
+        now = {(x, y): (*rng.choice([RED, BLUE, (1, 2, 3)]), 255) if rng.random() < 0.4 else (0, 0, 0, 0) for x in range(9) for y in range(7) if rng.random() < 0.95}
+        solid, masked = {k for k in now if rng.random() < 0.8}, {k for k in now if rng.random() < 0.1}
+        want = dict(now)
+        effect = {k for k, c in now.items() if c[3] and k not in masked}
+        holes = {k for k, c in now.items() if not c[3] and k in solid}
+        while True:
+            fill = {}
+            for x, y in holes:
+                near = [want[q] for i in (-1, 0, 1) for k in (-1, 0, 1) if (q := (x + i, y + k)) in effect and q != (x, y)]
+                if len(near) >= 3:
+                    fill[x, y] = max(near, key=lambda c: (near.count(c), -near.index(c)))
+            if not fill:
+                break
+            want |= fill
+            effect |= fill.keys()
+            holes -= fill.keys()
+        rows_ = [(0, x, y, *c) for (x, y), c in now.items()]
+        p = px_of(spark, rows_)
+        stock = px_of(spark, [(0, x, y, 0, 0, 0, 255 if (x, y) in solid else 0) for x, y in now])
+        out = nh.fill_holes(p, stock, px_of(spark, [(0, x, y, 0, 0, 0, 0) for x, y in masked]).select("frame", "x", "y"))
+        assert {(r["x"], r["y"]): tuple(r[c] for c in "rgba") for r in out.collect()} == want
+
+
 def test_empty_tables(spark):
     e = px_of(spark, [])
     pal = palettes.table(spark, [RED])
