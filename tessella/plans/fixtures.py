@@ -12,7 +12,7 @@ PX_SQL = """px AS (
 ALT_SQL = """alt AS (SELECT frame, x, y, CASE WHEN (frame * 256 + y * 16 + x) % 7 = 0 THEN (r + 8) % 256 ELSE r END AS r, g, b,
   CASE WHEN (frame * 256 + y * 16 + x) % 11 = 0 THEN 0 ELSE a END AS a FROM px)"""
 FLAT_SQL = "flat AS (SELECT frame, x, y, (r // 96) * 96 AS r, (g // 96) * 96 AS g, (b // 128) * 128 AS b, a FROM px)"
-FG_SQL = "fg AS (SELECT frame, x, y FROM px WHERE r < 110 AND frame < 8)"
+FG_SQL = "fg AS (SELECT frame, x, y FROM px WHERE r < 110)"
 GRAY_SQL = """gray AS (SELECT vec_id AS frame, CAST((i - 1) % 8 AS INT) AS x, CAST((i - 1) // 8 AS INT) AS y, CAST(floor((CAST(embedding[i] AS DOUBLE) + 1) * 128) AS INT) AS v, label
   FROM (SELECT vec_id, embedding, label, unnest(generate_series(1, 64)) AS i FROM embeddings))"""
 STEPS_SQL = """steps AS (SELECT CAST(o_custkey % 50 AS INT) AS anim, CAST(row_number() OVER (PARTITION BY o_custkey % 50 ORDER BY o_orderkey) - 1 AS INT) AS step,
@@ -51,13 +51,8 @@ def flat(p: DataFrame) -> DataFrame:
     return p.select("frame", "x", "y", cut("r", 96), cut("g", 96), cut("b", 128), "a")
 
 
-def first(p: DataFrame, frames: int | None) -> DataFrame:
-    """The frames under a bound; all of them without one."""
-    return p if frames is None else p.where(F.col("frame") < frames)
-
-
-def fg(p: DataFrame, frames: int | None) -> DataFrame:
-    return first(p, frames).where("r < 110").select("frame", "x", "y")
+def fg(p: DataFrame) -> DataFrame:
+    return p.where("r < 110").select("frame", "x", "y")
 
 
 def gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ _LUM = "0.299::DOUBLE * r + 0.587::DOUBLE * g + 0.114::DOUBLE * b"
 _PICK = f"pick AS (SELECT px.*, {_LUM} AS l FROM px JOIN mask USING (frame, x, y)), sorted AS (SELECT frame, l, row_number() OVER (PARTITION BY frame ORDER BY l) - 1 AS k, count(*) OVER (PARTITION BY frame) AS n FROM pick), cuts AS (SELECT frame, max(l) FILTER (k = least(n // 3, n - 1)) AS c1, max(l) FILTER (k = least(2 * n // 3, n - 1)) AS c2 FROM sorted GROUP BY frame)"
 _BIN = "CASE WHEN m.frame IS NULL THEN NULL WHEN NOT l > c1 THEN 0 WHEN NOT l > c2 THEN 1 ELSE 2 END"
 _RAMP = [(24, 28, 33), (123, 121, 123), (231, 227, 231)]
-_PAINTED = f"painted AS (SELECT p.*, CAST({_BIN} AS INT) AS bin FROM (SELECT *, {_LUM} AS l FROM px WHERE frame < 12) p LEFT JOIN mask m USING (frame, x, y) LEFT JOIN cuts USING (frame))"
+_PAINTED = f"painted AS (SELECT p.*, CAST({_BIN} AS INT) AS bin FROM (SELECT *, {_LUM} AS l FROM px) p LEFT JOIN mask m USING (frame, x, y) LEFT JOIN cuts USING (frame))"
 
 
 def _case(i):
@@ -34,27 +34,27 @@ def _case(i):
 
 
 @query("a18_quantile_cuts", "SELECT frame, [c1, c2] AS cuts FROM cuts", X.PX_SQL, MASK_SQL, _PICK)
-def quantile_cuts(spark, d, frames=12):
-    p, m = _mask(spark, d, frames)
+def quantile_cuts(spark, d):
+    p, m = _mask(spark, d)
     picked = p.join(m.select("frame", "x", "y"), ["frame", "x", "y"]).select("frame", P.luminance(C("r"), C("g"), C("b")).alias("l"))
     return masks.quantile_cuts(picked, 3)
 
 
 @query("a19_recolour", f"SELECT frame, x, y, CASE {_case(0)} ELSE r END AS r, CASE {_case(1)} ELSE g END AS g, CASE {_case(2)} ELSE b END AS b, a, bin FROM painted", X.PX_SQL, MASK_SQL, _PICK, _PAINTED)
-def recolour(spark, d, frames=12):
-    p, m = _mask(spark, d, frames)
+def recolour(spark, d):
+    p, m = _mask(spark, d)
     return masks.recolour_region(p, m, _RAMP)
 
 
 @query("a19_recolour_counts", "SELECT frame, count(*) AS painted_px, count(*) FILTER (bin = 0) AS bin0, count(*) FILTER (bin = 1) AS bin1, count(*) FILTER (bin = 2) AS bin2 FROM painted WHERE bin IS NOT NULL GROUP BY frame", X.PX_SQL, MASK_SQL, _PICK, _PAINTED)
-def recolour_counts(spark, d, frames=12):
-    return masks.bin_counts(recolour(spark, d, frames), 3)
+def recolour_counts(spark, d):
+    return masks.bin_counts(recolour(spark, d), 3)
 
 
 @query("a16_leftover", """SELECT frame, CAST(round_even(sum((CASE WHEN p.a >= 128 AND q.a >= 128 THEN abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) <= 30 ELSE p.a < 128 AND q.a < 128 END)::INT) * 100.0::DOUBLE / count(*), 0) AS INT) AS leftover
   FROM (SELECT m.* FROM mask m JOIN (SELECT frame, min(y) AS y0, max(y) AS y1 FROM mask GROUP BY frame) USING (frame) WHERE m.y >= y0 + floor((y1 - y0 + 1) * 0.3)) m JOIN alt p USING (frame, x, y) JOIN px q USING (frame, x, y) GROUP BY frame""", X.PX_SQL, X.ALT_SQL, MASK_SQL)
-def leftover(spark, d, frames=12):
-    p, m = _mask(spark, d, frames)
+def leftover(spark, d):
+    p, m = _mask(spark, d)
     return masks.leftover(X.alt(p), p, m.select("frame", "x", "y"))
 
 
@@ -67,12 +67,12 @@ def conform_report(spark, d):
 
 
 # Geometry ---------------------------------------------------------------------------------------------------------------
-_SMALL = "sm AS (SELECT * FROM px WHERE frame < 6)"
+_SMALL = "sm AS (SELECT * FROM px)"
 
 
 @query("g01_upscale", "SELECT frame, x * 3 + dx AS x, y * 3 + dy AS y, r, g, b, a FROM sm CROSS JOIN (SELECT CAST(unnest(generate_series(0, 2)) AS INT) AS dx) CROSS JOIN (SELECT CAST(unnest(generate_series(0, 2)) AS INT) AS dy)", X.PX_SQL, _SMALL)
-def upscale(spark, d, frames=6):
-    return layout.upscale(X.first(X.px(spark, d), frames), 3)
+def upscale(spark, d):
+    return layout.upscale(X.px(spark, d), 3)
 
 
 _FR = "fr AS (SELECT frame // 6 AS sheet, frame AS ord, CAST(10 + frame % 6 AS INT) AS w, CAST(12 + frame * 7 % 5 AS INT) AS h FROM px GROUP BY frame)"
@@ -94,19 +94,18 @@ def sheet_layout(spark, d):
 
 
 @query("g02_sheet_pixels", """SELECT g.sheet AS frame, CAST(g.x AS INT) AS x, CAST(g.y AS INT) AS y, CASE WHEN q.a > 0 THEN q.r ELSE 128 END AS r, CASE WHEN q.a > 0 THEN q.g ELSE 128 END AS g, CASE WHEN q.a > 0 THEN q.b ELSE 128 END AS b, coalesce(CASE WHEN q.a > 0 THEN q.a END, 255) AS a
-  FROM (SELECT sheet, x, y FROM (SELECT DISTINCT sheet FROM man WHERE sheet = 0) CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS x) CROSS JOIN (SELECT unnest(generate_series(0, 219)) AS y)) g
+  FROM (SELECT sheet, x, y FROM (SELECT DISTINCT sheet FROM man) CROSS JOIN (SELECT unnest(generate_series(0, 199)) AS x) CROSS JOIN (SELECT unnest(generate_series(0, 219)) AS y)) g
   LEFT JOIN man m ON m.sheet = g.sheet AND g.x >= m.x AND g.x < m.x + m.w * 3 AND g.y >= m.y AND g.y < m.y + m.h * 3 LEFT JOIN px q ON q.frame = m.ord AND q.x = (g.x - m.x) // 3 AND q.y = (g.y - m.y) // 3""", X.PX_SQL, _FR, _LAY)
-def sheet_pixels(spark, d, frames=6):
-    p = X.first(X.px(spark, d), frames)
+def sheet_pixels(spark, d):
+    p = X.px(spark, d)
     m = layout.sheet_manifest(_frames(X.px(spark, d)), 3, 6, 2, (200, 220))
-    m = m if frames is None else m.where("sheet = 0")
     inside = p.join(m.select(C("ord").alias("frame"), "w", "h"), "frame").where("x < w and y < h").select("frame", "x", "y", *RGBA)
     return layout.sheet(inside, m, 3, (128, 128, 128))
 
 
-@query("g03_unsheet", "SELECT m.ord AS frame, s.x - m.x AS x, s.y - m.y AS y, r, g, b, a FROM (SELECT 0 AS sheet, CAST((frame % 4) * 16 + x AS INT) AS x, CAST((frame // 4) * 16 + y AS INT) AS y, r, g, b, a FROM px WHERE frame < 16) s JOIN (VALUES (0, 7, 3, 5, 6, 7), (0, 8, 30, 20, 5, 9)) m(sheet, ord, x, y, w, h) ON s.x >= m.x AND s.x < m.x + m.w * 2 AND s.y >= m.y AND s.y < m.y + m.h * 2", X.PX_SQL)
-def unsheet(spark, d, frames=16):
-    p, k = X.first(X.px(spark, d), frames), C("frame") % 16
+@query("g03_unsheet", "SELECT s.sheet * 16 + m.ord AS frame, s.x - m.x AS x, s.y - m.y AS y, r, g, b, a FROM (SELECT frame // 16 AS sheet, CAST((frame % 4) * 16 + x AS INT) AS x, CAST((frame % 16 // 4) * 16 + y AS INT) AS y, r, g, b, a FROM px) s JOIN (VALUES (7, 3, 5, 6, 7), (8, 30, 20, 5, 9)) m(ord, x, y, w, h) ON s.x >= m.x AND s.x < m.x + m.w * 2 AND s.y >= m.y AND s.y < m.y + m.h * 2", X.PX_SQL)
+def unsheet(spark, d):
+    p, k = X.px(spark, d), C("frame") % 16
     s = p.select(F.floor(C("frame") / 16).alias("frame"), (k % 4 * 16 + C("x")).cast("int").alias("x"), (F.floor(k / 4) * 16 + C("y")).cast("int").alias("y"), *RGBA)
     m = spark.createDataFrame([(7, 3, 5, 6, 7), (8, 30, 20, 5, 9)], "ord int, x int, y int, w int, h int")
     m = s.select(C("frame").alias("sheet")).distinct().crossJoin(F.broadcast(m)).withColumn("ord", (C("sheet") * 16 + C("ord")).cast("int"))
@@ -354,14 +353,14 @@ def _foam(c, v):
 
 
 @query("p16_foam_rim", f"SELECT p.frame, p.x, p.y, {_foam('r', 235)}, {_foam('g', 248)}, {_foam('b', 255)}, a FROM px p LEFT JOIN edge e USING (frame, x, y)", X.PX_SQL, X.FG_SQL, _EDGE)
-def foam_rim(spark, d, frames=8):
+def foam_rim(spark, d):
     p = X.px(spark, d)
-    return samples.foam_rim(p, X.fg(p, frames))
+    return samples.foam_rim(p, X.fg(p))
 
 
 @query("g17_foam_droplets", None)
 def droplets(spark, d):
-    return samples.droplets(X.fg(X.px(spark, d), None), 7)
+    return samples.droplets(X.fg(X.px(spark, d)), 7)
 
 
 @query("j19_keep_effects", """SELECT p.frame, p.x, p.y, coalesce(s.r, p.r) AS r, coalesce(s.g, p.g) AS g, coalesce(s.b, p.b) AS b, coalesce(s.a, p.a) AS a FROM alt p LEFT JOIN (
@@ -391,4 +390,4 @@ def figures(spark, d):
 
 @query("g15_chest_rows", None)
 def chest_rows(spark, d):
-    return samples.chest_rows(X.fg(X.px(spark, d), None), 2, 2)
+    return samples.chest_rows(X.fg(X.px(spark, d)), 2, 2)

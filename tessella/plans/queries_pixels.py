@@ -182,9 +182,9 @@ _SUB = [(4.0, 3.0), (8.0, 3.0), (8.0, 5.0), (4.0, 5.0)]
 _LINE = ((2.0, 12.0), (13.0, 3.0), 1.5)
 
 
-def _mask(spark, d, frames=12):
+def _mask(spark, d):
     """The pixels and one region's mask on every frame under the bound."""
-    p = X.first(_px(spark, d), frames)
+    p = _px(spark, d)
     polys, lines = masks.edges({0: [{"add": [_POLY], "sub": [_SUB], "sub_lines": [_LINE]}]})
     every = p.select("frame").distinct()
     spread = lambda rows, ddl: every.crossJoin(F.broadcast(spark.createDataFrame(rows, ddl).drop("frame")))
@@ -203,12 +203,12 @@ def _inside_sql(poly):
 (_AX, _AY), (_BX, _BY), _LW = _LINE
 _T = f"least(greatest(((x + 0.5 - {_AX}) * ({_BX} - {_AX}) + (y + 0.5 - {_AY}) * ({_BY} - {_AY}))::DOUBLE / {(_BX - _AX) ** 2 + (_BY - _AY) ** 2}, 0.0), 1.0)"
 _ONLINE = f"((x + 0.5 - {_AX} - {_T} * ({_BX} - {_AX})) ** 2 + (y + 0.5 - {_AY} - {_T} * ({_BY} - {_AY})) ** 2 <= {(_LW / 2) ** 2})"
-MASK_SQL = f"mask AS (SELECT frame, x, y FROM px WHERE frame < 12 AND a >= 128 AND {_inside_sql(_POLY)} AND NOT {_inside_sql(_SUB)} AND NOT {_ONLINE})"
+MASK_SQL = f"mask AS (SELECT frame, x, y FROM px WHERE a >= 128 AND {_inside_sql(_POLY)} AND NOT {_inside_sql(_SUB)} AND NOT {_ONLINE})"
 
 
 @query("f04_rasterised_masks", "SELECT frame, CAST(0 AS INT) AS region, x, y FROM mask", X.PX_SQL, MASK_SQL)
-def rasterised(spark, d, frames=12):
-    return _mask(spark, d, frames)[1]
+def rasterised(spark, d):
+    return _mask(spark, d)[1]
 
 
 CROPS_SQL = "crops AS (SELECT frame, CAST(frame % 5 + 1 AS INT) AS cx, CAST(frame % 3 + 2 AS INT) AS cy, CAST(8 AS INT) AS cw, CAST(9 AS INT) AS ch FROM px GROUP BY frame)"
@@ -275,19 +275,19 @@ def background(spark, d):
 
 
 _REMIX = """remixed AS (SELECT px.frame, px.x, px.y, CASE WHEN t THEN q.r ELSE px.r END AS r, CASE WHEN t THEN q.g ELSE px.g END AS g, CASE WHEN t THEN q.b ELSE px.b END AS b, CASE WHEN t THEN q.a ELSE px.a END AS a, i AS inside, t AS taken
-  FROM (SELECT p.*, m.frame IS NOT NULL AS i, m.frame IS NOT NULL AND coalesce(q.a >= 128, false) AS t FROM px p LEFT JOIN mask m USING (frame, x, y) LEFT JOIN alt q USING (frame, x, y) WHERE p.frame < 12) px LEFT JOIN alt q USING (frame, x, y))"""
+  FROM (SELECT p.*, m.frame IS NOT NULL AS i, m.frame IS NOT NULL AND coalesce(q.a >= 128, false) AS t FROM px p LEFT JOIN mask m USING (frame, x, y) LEFT JOIN alt q USING (frame, x, y) ) px LEFT JOIN alt q USING (frame, x, y))"""
 
 
 @query("j04_remix", "SELECT * FROM remixed", X.PX_SQL, X.ALT_SQL, MASK_SQL, _REMIX)
-def remix(spark, d, frames=12):
-    p, m = _mask(spark, d, frames)
+def remix(spark, d):
+    p, m = _mask(spark, d)
     return masks.remix(X.alt(p), p, m)
 
 
-@query("a17_seam_error", f"""SELECT s.frame, count(*) AS seam_pairs, sum({D2('s.', 'o.')})::DOUBLE / count(*) AS seam_error FROM remixed s JOIN (SELECT px.* FROM px ANTI JOIN mask USING (frame, x, y) WHERE a >= 128 AND px.frame < 12) o
+@query("a17_seam_error", f"""SELECT s.frame, count(*) AS seam_pairs, sum({D2('s.', 'o.')})::DOUBLE / count(*) AS seam_error FROM remixed s JOIN (SELECT px.* FROM px ANTI JOIN mask USING (frame, x, y) WHERE a >= 128) o
   ON s.frame = o.frame AND abs(s.x - o.x) + abs(s.y - o.y) = 1 WHERE s.inside AND s.a >= 128 GROUP BY s.frame""", X.PX_SQL, X.ALT_SQL, MASK_SQL, _REMIX)
-def seam(spark, d, frames=12):
-    p, m = _mask(spark, d, frames)
+def seam(spark, d):
+    p, m = _mask(spark, d)
     return masks.seam(masks.remix(X.alt(p), p, m), p)
 
 
@@ -299,7 +299,7 @@ def place(spark, d):
     return layout.place(layout.crop(X.alt(p), c), p, c)
 
 
-_PAIRS = "pairs AS (SELECT DISTINCT frame AS f1, frame + 1 AS f2 FROM px WHERE frame < 20)"
+_PAIRS = "pairs AS (SELECT DISTINCT frame AS f1, frame + 1 AS f2 FROM px)"
 
 
 @query("j07_colour_map_residuals", """SELECT f1, f2, sum(CASE WHEN o THEN n ELSE 0 END)::BIGINT AS opaque, sum(CASE WHEN o THEN n - top ELSE 0 END)::BIGINT AS residual, sum(miss)::BIGINT AS mismatch FROM (
@@ -308,9 +308,9 @@ _PAIRS = "pairs AS (SELECT DISTINCT frame AS f1, frame + 1 AS f2 FROM px WHERE f
       SELECT f1, f2, coalesce(a1 >= 128 AND a2 >= 128, false) AS o, a1 IS NULL OR a2 IS NULL OR (a1 >= 128) <> (a2 >= 128) AS m, CASE WHEN a1 >= 128 AND a2 >= 128 THEN r1 END AS r1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g1 END AS g1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b1 END AS b1,
         CASE WHEN a1 >= 128 AND a2 >= 128 THEN r2 END AS r2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g2 END AS g2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b2 END AS b2
       FROM (SELECT f1, f2, x, y, r AS r1, g AS g1, b AS b1, a AS a1 FROM pairs JOIN flat ON frame = f1) s FULL JOIN (SELECT f1, f2, x, y, r AS r2, g AS g2, b AS b2, a AS a2 FROM pairs JOIN flat ON frame = f2) t USING (f1, f2, x, y)) GROUP BY ALL) GROUP BY ALL) GROUP BY f1, f2""", X.PX_SQL, X.FLAT_SQL, _PAIRS)
-def colour_maps(spark, d, frames=20):
+def colour_maps(spark, d):
     p = X.flat(_px(spark, d))
-    pairs = X.first(p, frames).select(C("frame").alias("f1")).distinct().select("f1", (C("f1") + 1).alias("f2"))
+    pairs = p.select(C("frame").alias("f1")).distinct().select("f1", (C("f1") + 1).alias("f2"))
     return palette_ops.colour_maps(p, pairs)
 
 
@@ -329,16 +329,16 @@ def recolour_by_map(spark, d):
     return palette_ops.recoloured(p, palette_ops.colour_map(p, 0, 1))
 
 
-_SHIFTED = "sh AS (SELECT frame, x + 2 AS x, y - 1 AS y, r, g, b, a FROM px WHERE frame < 6)"
+_SHIFTED = "sh AS (SELECT frame, x + 2 AS x, y - 1 AS y, r, g, b, a FROM px)"
 _SAME = "CASE WHEN coalesce(pa, 0) >= 128 AND coalesce(qa, 0) >= 128 THEN abs(pr - coalesce(qr, 0)) + abs(pg - coalesce(qg, 0)) + abs(pb - coalesce(qb, 0)) <= 30 ELSE coalesce(pa, 0) < 128 AND coalesce(qa, 0) < 128 END"
 _COSTS = f"""costs AS (SELECT f, dx, dy, sum(CASE WHEN {_SAME} THEN 0 ELSE 1 END)::DOUBLE / count(*) AS miss FROM (
-  SELECT p.frame AS f, dx, dy, p.r AS pr, p.g AS pg, p.b AS pb, p.a AS pa, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM (SELECT * FROM px WHERE frame < 6) p
+  SELECT p.frame AS f, dx, dy, p.r AS pr, p.g AS pg, p.b AS pb, p.a AS pa, q.r AS qr, q.g AS qg, q.b AS qb, q.a AS qa FROM (SELECT * FROM px) p
   CROSS JOIN (SELECT CAST(unnest(generate_series(-4, 4)) AS INT) AS dx) CROSS JOIN (SELECT CAST(unnest(generate_series(-4, 4)) AS INT) AS dy) LEFT JOIN sh q ON q.frame = p.frame AND q.x = p.x - dx AND q.y = p.y - dy) WHERE pa >= 128 OR coalesce(qa, 0) >= 128 GROUP BY f, dx, dy)"""
 
 
 @query("j10_best_shift", "SELECT f, f AS g, dx, dy, miss FROM (SELECT *, row_number() OVER (PARTITION BY f ORDER BY miss, dy, dx) AS k FROM costs) WHERE k = 1", X.PX_SQL, _SHIFTED, _COSTS)
-def best_shift(spark, d, frames=6):
-    p = X.first(_px(spark, d), frames)
+def best_shift(spark, d):
+    p = _px(spark, d)
     pairs = p.select(C("frame").alias("f")).distinct().select("f", C("f").alias("g"), F.lit(0).alias("sx"), F.lit(0).alias("sy"))
     return alignment.best_shift(p, p.withColumns({"x": C("x") + 2, "y": C("y") - 1}), pairs)
 
@@ -350,46 +350,46 @@ def starts(spark, d):
     return alignment.starts(pairs, c)
 
 
-def _shifts(p, frames):
-    f = X.first(p, frames).select(C("frame").alias("f")).distinct()
+def _shifts(p):
+    f = p.select(C("frame").alias("f")).distinct()
     return f.select("f", (C("f") + 1).alias("g"), F.lit(1).alias("dx"), F.lit(-1).alias("dy"))
 
 
 _TP = """tp AS (SELECT p.frame, p.x, p.y, p.r AS pr, p.g AS pg, p.b AS pb, p.a AS pa, coalesce(s.r, 0) AS qr, coalesce(s.g, 0) AS qg, coalesce(s.b, 0) AS qb, coalesce(s.a, 0) AS qa, coalesce(e.r, 0) AS er, coalesce(e.g, 0) AS eg, coalesce(e.b, 0) AS eb, coalesce(e.a, 0) AS ea, m.frame IS NOT NULL AS i
-  FROM flat p LEFT JOIN flat s ON s.frame = p.frame + 1 AND s.x = p.x - 1 AND s.y = p.y + 1 LEFT JOIN alt e ON e.frame = p.frame + 1 AND e.x = p.x - 1 AND e.y = p.y + 1 LEFT JOIN mask m ON m.frame = p.frame AND m.x = p.x AND m.y = p.y WHERE p.frame < 8)"""
+  FROM flat p LEFT JOIN flat s ON s.frame = p.frame + 1 AND s.x = p.x - 1 AND s.y = p.y + 1 LEFT JOIN alt e ON e.frame = p.frame + 1 AND e.x = p.x - 1 AND e.y = p.y + 1 LEFT JOIN mask m ON m.frame = p.frame AND m.x = p.x AND m.y = p.y)"""
 
 
 @query("j12_transplant", f"SELECT frame, x, y, CASE WHEN t THEN er ELSE pr END AS r, CASE WHEN t THEN eg ELSE pg END AS g, CASE WHEN t THEN eb ELSE pb END AS b, CASE WHEN t THEN ea ELSE pa END AS a, CASE WHEN t THEN 'taken' WHEN i THEN 'kept' END AS state FROM (SELECT *, i AND {_SAME} AS t FROM tp)", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _TP)
-def transplant(spark, d, frames=8):
-    m = _mask(spark, d, None if frames is None else 12)[1]
+def transplant(spark, d):
+    m = _mask(spark, d)[1]
     p = _px(spark, d)
-    return alignment.transplant(X.flat(p), X.alt(p), m, _shifts(p, frames))
+    return alignment.transplant(X.flat(p), X.alt(p), m, _shifts(p))
 
 
 _DONOR = "(em.frame IS NOT NULL)"
 _GF = """gf AS (SELECT p.frame, p.x, p.y, p.r AS pr, p.g AS pg, p.b AS pb, p.a AS pa, coalesce(s.r, 0) AS qr, coalesce(s.g, 0) AS qg, coalesce(s.b, 0) AS qb, coalesce(s.a, 0) AS qa, e.r AS er, e.g AS eg, e.b AS eb, e.a AS ea, m.frame IS NOT NULL AS i, em.frame IS NOT NULL AND e.frame IS NOT NULL AS has
-  FROM flat p LEFT JOIN flat s ON s.frame = p.frame + 1 AND s.x = p.x - 1 AND s.y = p.y + 1 LEFT JOIN alt e ON e.frame = p.frame + 1 AND e.x = p.x - 1 AND e.y = p.y + 1 LEFT JOIN mask em ON em.frame = p.frame + 1 AND em.x = p.x - 1 AND em.y = p.y + 1 LEFT JOIN mask m ON m.frame = p.frame AND m.x = p.x AND m.y = p.y WHERE p.frame < 8)"""
+  FROM flat p LEFT JOIN flat s ON s.frame = p.frame + 1 AND s.x = p.x - 1 AND s.y = p.y + 1 LEFT JOIN alt e ON e.frame = p.frame + 1 AND e.x = p.x - 1 AND e.y = p.y + 1 LEFT JOIN mask em ON em.frame = p.frame + 1 AND em.x = p.x - 1 AND em.y = p.y + 1 LEFT JOIN mask m ON m.frame = p.frame AND m.x = p.x AND m.y = p.y)"""
 
 
 @query("j13_graft", f"SELECT frame, x, y, CASE WHEN t THEN er ELSE pr END AS r, CASE WHEN t THEN eg ELSE pg END AS g, CASE WHEN t THEN eb ELSE pb END AS b, CASE WHEN t THEN ea ELSE pa END AS a, t AS grafted FROM (SELECT *, has AND i AND {_SAME} AND (er <> qr OR eg <> qg OR eb <> qb OR ea <> qa) AS t FROM gf)", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _GF)
-def graft(spark, d, frames=8):
-    m = _mask(spark, d, None if frames is None else 12)[1]
+def graft(spark, d):
+    m = _mask(spark, d)[1]
     p = _px(spark, d)
-    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p, frames))
+    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p))
 
 
 @query("j14_stamp_figure", "SELECT frame, x, y, CASE WHEN has THEN er WHEN i THEN 0 ELSE pr END AS r, CASE WHEN has THEN eg WHEN i THEN 0 ELSE pg END AS g, CASE WHEN has THEN eb WHEN i THEN 0 ELSE pb END AS b, CASE WHEN has THEN ea WHEN i THEN 0 ELSE pa END AS a, has AS grafted FROM gf", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL, MASK_SQL, _GF)
-def stamp_figure(spark, d, frames=8):
-    m = _mask(spark, d, None if frames is None else 12)[1]
+def stamp_figure(spark, d):
+    m = _mask(spark, d)[1]
     p = _px(spark, d)
-    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p, frames), stamp=True)
+    return alignment.graft(X.flat(p), X.alt(p), m, _shifts(p), stamp=True)
 
 
 @query("j16_hold", """SELECT h.f AS frame, p.x + h.dx AS x, p.y + h.dy AS y, r, g, b, a FROM px p JOIN (
-  SELECT a.frame AS f, b.frame AS src, a.x - b.x AS dx, a.z - b.z AS dy FROM fs a JOIN fs b ON b.frame = a.frame + 1 WHERE a.frame BETWEEN 0 AND 9) h ON p.frame = h.src""", X.PX_SQL, X.STEPS_SQL, "fs AS (SELECT frame, x, z FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY anim, step) AS k FROM steps) WHERE k = 1)")
+  SELECT a.frame AS f, b.frame AS src, a.x - b.x AS dx, a.z - b.z AS dy FROM fs a JOIN fs b ON b.frame = a.frame + 1 WHERE a.frame >= 0) h ON p.frame = h.src""", X.PX_SQL, X.STEPS_SQL, "fs AS (SELECT frame, x, z FROM (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY anim, step) AS k FROM steps) WHERE k = 1)")
 def hold(spark, d):
-    held = spark.createDataFrame([(f, f + 1) for f in range(10)], "frame int, src int")
-    return alignment.hold(X.steps(spark, d), _px(spark, d), held)
+    s = X.steps(spark, d)
+    return alignment.hold(s, _px(spark, d), s.where("frame >= 0").select("frame", (C("frame") + 1).alias("src")).distinct())
 
 
 @query("j17_diff_masks", "SELECT p.frame, p.x, p.y FROM px p LEFT JOIN alt q ON q.frame = p.frame AND q.x = p.x - p.frame % 2 AND q.y = p.y WHERE q.frame IS NULL OR p.r <> q.r OR p.g <> q.g OR p.b <> q.b OR p.a <> q.a", X.PX_SQL, X.ALT_SQL)

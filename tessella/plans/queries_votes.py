@@ -195,13 +195,13 @@ def _ero(m):
 
 
 @query("n07_dilate", _DIL.format(m="fg"), X.PX_SQL, X.FG_SQL)
-def dilate(spark, d, frames=8):
-    return nh.dilate(X.fg(X.px(spark, d), frames))
+def dilate(spark, d):
+    return nh.dilate(X.fg(X.px(spark, d)))
 
 
 @query("n07_close", _ero("dil"), X.PX_SQL, X.FG_SQL, f"dil AS ({_DIL.format(m='fg')})")
-def close(spark, d, frames=8):
-    return nh.closed(X.fg(X.px(spark, d), frames))
+def close(spark, d):
+    return nh.closed(X.fg(X.px(spark, d)))
 
 
 @query("n07_open", _DIL.format(m="ero"), X.PX_SQL, "opq AS (SELECT frame, x, y FROM px WHERE a >= 128 AND x % 5 < 4)", f"ero AS ({_ero('opq')})")
@@ -213,13 +213,13 @@ _O4 = "(VALUES (-1, 0), (1, 0), (0, -1), (0, 1)) o(dx, dy)"
 
 
 @query("n08_contour", f"SELECT DISTINCT m.frame, m.x, m.y FROM fg m CROSS JOIN {_O4} LEFT JOIN fg q ON q.frame = m.frame AND q.x = m.x + o.dx AND q.y = m.y + o.dy WHERE q.frame IS NULL", X.PX_SQL, X.FG_SQL)
-def contour(spark, d, frames=8):
-    return nh.contour(X.fg(X.px(spark, d), frames))
+def contour(spark, d):
+    return nh.contour(X.fg(X.px(spark, d)))
 
 
 @query("n08_rim", f"SELECT DISTINCT m.frame, m.x + o.dx AS x, m.y + o.dy AS y FROM fg m CROSS JOIN {_O4} LEFT JOIN fg q ON q.frame = m.frame AND q.x = m.x + o.dx AND q.y = m.y + o.dy WHERE q.frame IS NULL", X.PX_SQL, X.FG_SQL)
-def rim(spark, d, frames=8):
-    return nh.rim(X.fg(X.px(spark, d), frames))
+def rim(spark, d):
+    return nh.rim(X.fg(X.px(spark, d)))
 
 
 @query("n09_distance_map", "SELECT p.frame, p.x, p.y, min(greatest(abs(p.x - q.x), abs(p.y - q.y))) AS d FROM px p JOIN fg q ON q.frame = p.frame AND abs(p.x - q.x) <= 3 AND abs(p.y - q.y) <= 3 GROUP BY ALL", X.PX_SQL, "fg AS (SELECT frame, x, y FROM px WHERE r < 20)")
@@ -228,9 +228,9 @@ def distance_map(spark, d):
     return nh.distance_map(p.where("r < 20"), p, 3)
 
 
-@query("n09_depth_map", """SELECT m.frame, m.x, m.y, CAST(min(abs(m.x - o.x) + abs(m.y - o.y)) AS INT) AS d FROM fg m JOIN (SELECT f.frame, x, y FROM (SELECT DISTINCT frame FROM fg) f CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 16)) AS INT) AS x) CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 16)) AS INT) AS y) ANTI JOIN fg USING (frame, x, y)) o ON o.frame = m.frame GROUP BY m.frame, m.x, m.y""", X.PX_SQL, "fg AS (SELECT frame, x, y FROM px WHERE a >= 128 AND frame < 8)")
-def depth_map(spark, d, frames=8):
-    return components.depth(X.first(X.px(spark, d), frames).where("a >= 128"))
+@query("n09_depth_map", """SELECT m.frame, m.x, m.y, CAST(min(abs(m.x - o.x) + abs(m.y - o.y)) AS INT) AS d FROM fg m JOIN (SELECT f.frame, x, y FROM (SELECT DISTINCT frame FROM fg) f CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 16)) AS INT) AS x) CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 16)) AS INT) AS y) ANTI JOIN fg USING (frame, x, y)) o ON o.frame = m.frame GROUP BY m.frame, m.x, m.y""", X.PX_SQL, "fg AS (SELECT frame, x, y FROM px WHERE a >= 128)")
+def depth_map(spark, d):
+    return components.depth(X.px(spark, d).where("a >= 128"))
 
 
 @query("n10_textured_patches", """SELECT p.frame, p.x, p.y FROM flat p CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 1)) AS INT) AS dx) CROSS JOIN (SELECT CAST(unnest(generate_series(-1, 1)) AS INT) AS dy)
@@ -242,13 +242,13 @@ def textured(spark, d):
 
 
 @query("g16_runs", "SELECT frame, y, CAST(start AS INT) AS start, n, CAST(row_number() OVER (PARTITION BY frame, y ORDER BY start) AS INT) AS run FROM (SELECT frame, y, min(x) AS start, CAST(count(*) AS INT) AS n FROM (SELECT frame, x, y, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS k FROM fg) GROUP BY frame, y, k)", X.PX_SQL, X.FG_SQL)
-def runs(spark, d, frames=8):
-    return nh.runs(X.fg(X.px(spark, d), frames))
+def runs(spark, d):
+    return nh.runs(X.fg(X.px(spark, d)))
 
 
 @query("g16_cylinder_shade", "SELECT frame, x, y, CASE t WHEN 0 THEN 10 WHEN 1 THEN 60 ELSE 200 END AS r, CASE t WHEN 0 THEN 20 WHEN 1 THEN 70 ELSE 210 END AS g, CASE t WHEN 0 THEN 30 WHEN 1 THEN 80 ELSE 220 END AS b FROM (SELECT frame, x, y, least(least(pos, n - 1 - pos) * 6 // n, 2) AS t FROM (SELECT frame, x, y, row_number() OVER (PARTITION BY frame, y, k ORDER BY x) - 1 AS pos, count(*) OVER (PARTITION BY frame, y, k) AS n FROM (SELECT frame, x, y, x - row_number() OVER (PARTITION BY frame, y ORDER BY x) AS k FROM fg)))", X.PX_SQL, X.FG_SQL)
-def cylinder(spark, d, frames=8):
-    return nh.cylinder_shade(X.fg(X.px(spark, d), frames), [(10, 20, 30), (60, 70, 80), (200, 210, 220)])
+def cylinder(spark, d):
+    return nh.cylinder_shade(X.fg(X.px(spark, d)), [(10, 20, 30), (60, 70, 80), (200, 210, 220)])
 
 
 @query("a14_edge_colour", "SELECT frame, r, g, b, n FROM (SELECT frame, r, g, b, CAST(sum(t) AS BIGINT) AS n, row_number() OVER (PARTITION BY frame ORDER BY sum(t) DESC, r, g, b) AS k FROM (SELECT *, (x = min(x) OVER f)::INT + (x = max(x) OVER f)::INT + (y = min(y) OVER f)::INT + (y = max(y) OVER f)::INT AS t FROM flat WINDOW f AS (PARTITION BY frame)) WHERE t > 0 GROUP BY frame, r, g, b) WHERE k = 1", X.PX_SQL, X.FLAT_SQL)
@@ -264,66 +264,66 @@ def _cc(src, name="cc", reach=1):
 
 
 @query("c01_components_8", "SELECT * FROM cc", X.PX_SQL, X.FG_SQL, _cc("fg"))
-def components_8(spark, d, frames=8):
-    return components.components(X.fg(X.px(spark, d), frames))
+def components_8(spark, d):
+    return components.components(X.fg(X.px(spark, d)))
 
 
 @query("c01_components_4", "SELECT * FROM cc", X.PX_SQL, X.FG_SQL, _cc("fg", reach=0))
-def components_4(spark, d, frames=8):
-    return components.components(X.fg(X.px(spark, d), frames), diagonal=False)
+def components_4(spark, d):
+    return components.components(X.fg(X.px(spark, d)), diagonal=False)
 
 
 @query("a30_component_centres", "SELECT frame, comp, count(*) AS n, min(x) AS x0, min(y) AS y0, max(x) AS x1, max(y) AS y1, avg(x) AS cx, avg(y) AS cy FROM cc GROUP BY frame, comp", X.PX_SQL, X.FG_SQL, _cc("fg"))
-def centres(spark, d, frames=8):
-    return components.component_table(components.components(X.fg(X.px(spark, d), frames)))
+def centres(spark, d):
+    return components.component_table(components.components(X.fg(X.px(spark, d))))
 
 
 _RMQ = "sqrt((2 + (p.r + q.r) / 2.0 / 256) * (p.r - q.r) * (p.r - q.r) + 4 * (p.g - q.g) * (p.g - q.g) + (2 + (255 - (p.r + q.r) / 2.0) / 256) * (p.b - q.b) * (p.b - q.b))"
-_STAB = f"fg AS (SELECT p.frame, p.x, p.y FROM alt p JOIN px q USING (frame, x, y) WHERE p.frame < 8 AND ((p.a >= 128) <> (q.a >= 128) OR (p.a >= 128 AND {_RMQ} > 10)))"
+_STAB = f"fg AS (SELECT p.frame, p.x, p.y FROM alt p JOIN px q USING (frame, x, y) WHERE ((p.a >= 128) <> (q.a >= 128) OR (p.a >= 128 AND {_RMQ} > 10)))"
 
 
-@query("c02_stabilize", """SELECT p.frame, p.x, p.y, CASE WHEN k THEN q.r ELSE p.r END AS r, CASE WHEN k THEN q.g ELSE p.g END AS g, CASE WHEN k THEN q.b ELSE p.b END AS b, CASE WHEN k THEN q.a ELSE p.a END AS a, k AS reverted FROM (SELECT p.*, coalesce(n < 3, false) AS k FROM alt p LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY frame, comp) AS n FROM cc) USING (frame, x, y) WHERE p.frame < 8) p JOIN px q USING (frame, x, y)""", X.PX_SQL, X.ALT_SQL, _STAB, _cc("fg"))
-def stabilize(spark, d, frames=8):
-    p = X.first(X.px(spark, d), frames)
+@query("c02_stabilize", """SELECT p.frame, p.x, p.y, CASE WHEN k THEN q.r ELSE p.r END AS r, CASE WHEN k THEN q.g ELSE p.g END AS g, CASE WHEN k THEN q.b ELSE p.b END AS b, CASE WHEN k THEN q.a ELSE p.a END AS a, k AS reverted FROM (SELECT p.*, coalesce(n < 3, false) AS k FROM alt p LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY frame, comp) AS n FROM cc) USING (frame, x, y) ) p JOIN px q USING (frame, x, y)""", X.PX_SQL, X.ALT_SQL, _STAB, _cc("fg"))
+def stabilize(spark, d):
+    p = X.px(spark, d)
     return components.stabilize(X.alt(p), p, min_region=3, tol=10)
 
 
-_SPARSE = "fg AS (SELECT frame, x, y FROM px WHERE a >= 128 AND r < 110 AND frame < 8)"
+_SPARSE = "fg AS (SELECT frame, x, y FROM px WHERE a >= 128 AND r < 110)"
 
 
-@query("c03_drop_small", "SELECT frame, x, y, r, g, b, a FROM (SELECT p.*, n FROM (SELECT * FROM px WHERE r < 110 AND frame < 8) p LEFT JOIN (SELECT frame, x, y, count(*) OVER (PARTITION BY frame, comp) AS n FROM cc) USING (frame, x, y)) WHERE n IS NULL OR n >= 6", X.PX_SQL, _SPARSE, _cc("fg"))
-def drop_small(spark, d, frames=8):
-    return components.drop_small(X.first(X.px(spark, d), frames).where("r < 110"), 6)
+@query("c03_drop_small", "SELECT frame, x, y, r, g, b, a FROM (SELECT p.*, n FROM (SELECT * FROM px WHERE r < 110) p LEFT JOIN (SELECT frame, x, y, count(*) OVER (PARTITION BY frame, comp) AS n FROM cc) USING (frame, x, y)) WHERE n IS NULL OR n >= 6", X.PX_SQL, _SPARSE, _cc("fg"))
+def drop_small(spark, d):
+    return components.drop_small(X.px(spark, d).where("r < 110"), 6)
 
 
 @query("c04_touching", f"SELECT frame, comp, count(*) AS n, count(t) AS touches FROM cc LEFT JOIN (SELECT DISTINCT o.frame, o.x - dx AS x, o.y - dy AS y, 1 AS t FROM (SELECT * FROM px WHERE r >= 200) o CROSS JOIN {_O4}) USING (frame, x, y) GROUP BY frame, comp", X.PX_SQL, X.FG_SQL, _cc("fg"))
-def touching(spark, d, frames=8):
+def touching(spark, d):
     p = X.px(spark, d)
-    return components.touching(components.components(X.fg(p, frames)), p.where("r >= 200"))
+    return components.touching(components.components(X.fg(p)), p.where("r >= 200"))
 
 
 @query("c04_border_majority", f"""SELECT frame, comp, kind, n FROM (SELECT frame, comp, kind, count(*) AS n, row_number() OVER (PARTITION BY frame, comp ORDER BY count(*) DESC, kind) AS k FROM (
   SELECT DISTINCT c.frame, c.comp, c.x + dx AS x, c.y + dy AS y FROM cc c CROSS JOIN {_O4}) b ANTI JOIN cc USING (frame, comp, x, y) JOIN (SELECT frame, x, y, CAST(b // 64 AS INT) AS kind FROM px) USING (frame, x, y) GROUP BY frame, comp, kind) WHERE k = 1""", X.PX_SQL, X.FG_SQL, _cc("fg"))
-def border_majority(spark, d, frames=8):
+def border_majority(spark, d):
     p = X.px(spark, d)
-    return components.border_majority(components.components(X.fg(p, frames)), p.withColumn("_kind", F.floor(C("b") / 64).cast("int")))
+    return components.border_majority(components.components(X.fg(p)), p.withColumn("_kind", F.floor(C("b") / 64).cast("int")))
 
 
-@query("c05_seeded_growth", "SELECT cc.frame, cc.x, cc.y FROM cc SEMI JOIN (SELECT DISTINCT c.frame, c.comp FROM cc c JOIN seeds USING (frame, x, y)) s ON s.frame = cc.frame AND s.comp = cc.comp", X.PX_SQL, "seeds AS (SELECT frame, x, y FROM px WHERE frame < 8 AND (frame * 256 + y * 16 + x) % 37 = 0)", "fg AS (SELECT frame, x, y FROM px WHERE r < 110 AND frame < 8 UNION SELECT * FROM seeds)", _cc("fg", reach=0))
-def growth(spark, d, frames=8):
+@query("c05_seeded_growth", "SELECT cc.frame, cc.x, cc.y FROM cc SEMI JOIN (SELECT DISTINCT c.frame, c.comp FROM cc c JOIN seeds USING (frame, x, y)) s ON s.frame = cc.frame AND s.comp = cc.comp", X.PX_SQL, "seeds AS (SELECT frame, x, y FROM px WHERE (frame * 256 + y * 16 + x) % 37 = 0)", "fg AS (SELECT frame, x, y FROM px WHERE r < 110 UNION SELECT * FROM seeds)", _cc("fg", reach=0))
+def growth(spark, d):
     p = X.px(spark, d)
-    return components.grow(X.first(p, frames).where("(frame * 256 + y * 16 + x) % 37 = 0"), X.fg(p, frames))
+    return components.grow(p.where("(frame * 256 + y * 16 + x) % 37 = 0"), X.fg(p))
 
 
-@query("g13_split_cells", "SELECT p.frame, p.x, p.y, r, g, b, a, cell FROM (SELECT * FROM px WHERE r < 110 AND frame < 8) p JOIN cc USING (frame, x, y) JOIN (SELECT frame, comp, CAST(least(floor(avg(y) * 2 / 16), 1) * 3 + least(floor(avg(x) * 3 / 16), 2) AS INT) AS cell FROM cc GROUP BY frame, comp) USING (frame, comp)", X.PX_SQL, _SPARSE, _cc("fg"))
-def split_cells(spark, d, frames=8):
-    return components.split_cells(X.first(X.px(spark, d), frames).where("r < 110"), 16, 16, 2, 3)
+@query("g13_split_cells", "SELECT p.frame, p.x, p.y, r, g, b, a, cell FROM (SELECT * FROM px WHERE r < 110) p JOIN cc USING (frame, x, y) JOIN (SELECT frame, comp, CAST(least(floor(avg(y) * 2 / 16), 1) * 3 + least(floor(avg(x) * 3 / 16), 2) AS INT) AS cell FROM cc GROUP BY frame, comp) USING (frame, comp)", X.PX_SQL, _SPARSE, _cc("fg"))
+def split_cells(spark, d):
+    return components.split_cells(X.px(spark, d).where("r < 110"), 16, 16, 2, 3)
 
 
 @query("c06_near_components", "SELECT DISTINCT c.frame, c.comp FROM cc c JOIN px q ON q.frame = c.frame AND q.b < 30 AND abs(q.x - c.x) <= 2 AND abs(q.y - c.y) <= 2", X.PX_SQL, X.FG_SQL, _cc("fg"))
-def near_components(spark, d, frames=8):
+def near_components(spark, d):
     p = X.px(spark, d)
-    return components.near_components(components.components(X.fg(p, frames)), p.where("b < 30"), 2)
+    return components.near_components(components.components(X.fg(p)), p.where("b < 30"), 2)
 
 
 _AXIS = "ax AS (SELECT m.frame, hx, hy, cx, cy, degrees(atan2(cy - hy, cx - hx)) AS angle FROM (SELECT frame, avg(x) AS cx, avg(y) AS cy FROM px WHERE a >= 128 GROUP BY frame) m JOIN (SELECT frame, avg(x) AS hx, avg(y) AS hy FROM px WHERE y < 4 AND r < 110 GROUP BY frame) h USING (frame))"
