@@ -113,17 +113,18 @@ def reduce_colours(px: DataFrame, n: int) -> DataFrame:
 
 def colour_maps(px: DataFrame, pairs: DataFrame) -> DataFrame:
     """For pairs (f1, f2) of frames: opaque (pixels of f1), residual (pixels that do not follow the map from each colour of f1 to
-    the colour of f2 that it meets most; the first in order of equals), mismatch (pixels of which one frame has none or that are
-    opaque in one only)."""
+    the colour of f2 that it meets most; the smallest of equals), mismatch (pixels of which one frame has none or that are
+    opaque in one only), lowest (the lowest row with a pixel that does not follow the map, null without one)."""
     a = pairs.join(px.select(C("frame").alias("f1"), "x", "y", *[C(c).alias(f"{c}1") for c in RGBA]), "f1")
     b = pairs.join(px.select(C("frame").alias("f2"), "x", "y", *[C(c).alias(f"{c}2") for c in RGBA]), "f2")
     both = a.join(b, ["f1", "f2", "x", "y"], "full")
     on1, on2 = F.coalesce(C("a1") >= 128, F.lit(False)), F.coalesce(C("a2") >= 128, F.lit(False))
     both = both.withColumn("miss", C("a1").isNull() | C("a2").isNull() | (on1 != on2)).withColumn("on", on1 & on2)
-    cells = both.groupBy("f1", "f2", *[F.when(C("on"), C(f"{c}1")).alias(f"{c}1") for c in RGB], *[F.when(C("on"), C(f"{c}2")).alias(f"{c}2") for c in RGB]).agg(F.count("*").alias("n"), F.sum(C("miss").cast("int")).alias("miss"))
-    per = cells.groupBy("f1", "f2", "r1", "g1", "b1").agg(F.sum("n").alias("n"), F.max("n").alias("top"), F.sum("miss").alias("miss"))
+    cells = both.groupBy("f1", "f2", *[F.when(C("on"), C(f"{c}1")).alias(f"{c}1") for c in RGB], *[F.when(C("on"), C(f"{c}2")).alias(f"{c}2") for c in RGB]).agg(F.count("*").alias("n"), F.sum(C("miss").cast("int")).alias("miss"), F.max("y").alias("low"))
+    ranked = cells.withColumn("k", F.row_number().over(Window.partitionBy("f1", "f2", "r1", "g1", "b1").orderBy(C("n").desc(), "r2", "g2", "b2")))
     on = C("r1").isNotNull()
-    return per.groupBy("f1", "f2").agg(F.sum(F.when(on, C("n")).otherwise(0)).alias("opaque"), F.sum(F.when(on, C("n") - C("top")).otherwise(0)).alias("residual"), F.sum("miss").alias("mismatch"))
+    off = on & (C("k") > 1)
+    return ranked.groupBy("f1", "f2").agg(F.sum(F.when(on, C("n")).otherwise(0)).alias("opaque"), F.sum(F.when(off, C("n")).otherwise(0)).alias("residual"), F.sum("miss").alias("mismatch"), F.max(F.when(off, C("low"))).alias("lowest"))
 
 
 def colour_map(px: DataFrame, f1: int, f2: int) -> DataFrame:
@@ -134,14 +135,27 @@ def colour_map(px: DataFrame, f1: int, f2: int) -> DataFrame:
     return n.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "n")
 
 
-def twins(px: DataFrame, share: float = 0.01) -> DataFrame:
+def twin_map(px: DataFrame, f1: int, f2: int) -> tuple[DataFrame, DataFrame]:
+    """How f1 becomes its twin f2: the colour map, and the pixels (x, y, r, g, b, a) that do not follow it."""
+    m = colour_map(px, f1, f2)
+    a = px.where((C("frame") == f1) & P.opaque()).select("x", "y", *[C(c).alias(f"{c}1") for c in RGB])
+    b = px.where((C("frame") == f2) & P.opaque()).select("x", "y", *RGBA)
+    off = a.join(m, [f"{c}1" for c in RGB]).join(b, ["x", "y"]).where(" or ".join(f"{c}2 <> {c}" for c in RGB))
+    return m, off.select("x", "y", *RGBA)
+
+
+def twins(px: DataFrame, share: float = 0.01, crops: DataFrame | None = None, top: float = 0.3) -> DataFrame:
     """(frame, rep): greedy groups in frame order. A frame joins the first earlier representative of its size and opacity of
-    which it is a recolouring but for ``share`` of the opaque pixels, else it represents itself. Candidates meet by a hash of
-    size and opacity, so only frames of one silhouette are compared."""
+    which it is a recolouring but for ``share`` of the opaque pixels, all of them in the ``top`` part of its box (its crop box, else
+    that of its opaque pixels), else it represents itself. Candidates meet by a hash of size and opacity, so only frames of one
+    silhouette are compared."""
+    from . import layout
+
     shape = px.groupBy("frame").agg(F.max("x").alias("w"), F.max("y").alias("h"), F.sum(F.when(P.opaque(), F.xxhash64("x", "y").cast("decimal(38,0)")).otherwise(0)).alias("s"))
     a, b = shape.select(C("frame").alias("f1"), "w", "h", "s"), shape.select(C("frame").alias("f2"), "w", "h", "s")
-    m = colour_maps(px, a.join(b, ["w", "h", "s"]).where("f1 < f2").select("f1", "f2"))
-    like = m.where((C("mismatch") == 0) & (C("residual") <= C("opaque") * share)).select("f1", "f2")
+    line = (layout.boxes(px) if crops is None else crops).select(C("frame").alias("f2"), (C("cy") + F.floor(C("ch") * F.lit(top))).alias("line"))
+    m = colour_maps(px, a.join(b, ["w", "h", "s"]).where("f1 < f2").select("f1", "f2")).join(line, "f2", "left")
+    like = m.where((C("mismatch") == 0) & (C("residual") <= C("opaque") * share) & (C("lowest").isNull() | F.coalesce(C("lowest") < C("line"), F.lit(False)))).select("f1", "f2")
 
     def greedy(key, pdf):
         import pandas as pd

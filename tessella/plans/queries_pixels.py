@@ -302,12 +302,12 @@ def place(spark, d):
 _PAIRS = "pairs AS (SELECT DISTINCT frame AS f1, frame + 1 AS f2 FROM px)"
 
 
-@query("j07_colour_map_residuals", """SELECT f1, f2, sum(CASE WHEN o THEN n ELSE 0 END)::BIGINT AS opaque, sum(CASE WHEN o THEN n - top ELSE 0 END)::BIGINT AS residual, sum(miss)::BIGINT AS mismatch FROM (
-  SELECT f1, f2, o, r1, g1, b1, sum(n) AS n, max(n) AS top, sum(miss) AS miss FROM (
-    SELECT f1, f2, o, r1, g1, b1, r2, g2, b2, count(*) AS n, sum(CASE WHEN m THEN 1 ELSE 0 END) AS miss FROM (
-      SELECT f1, f2, coalesce(a1 >= 128 AND a2 >= 128, false) AS o, a1 IS NULL OR a2 IS NULL OR (a1 >= 128) <> (a2 >= 128) AS m, CASE WHEN a1 >= 128 AND a2 >= 128 THEN r1 END AS r1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g1 END AS g1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b1 END AS b1,
+@query("j07_colour_map_residuals", """SELECT f1, f2, sum(CASE WHEN o THEN n ELSE 0 END)::BIGINT AS opaque, sum(CASE WHEN o AND k > 1 THEN n ELSE 0 END)::BIGINT AS residual, sum(miss)::BIGINT AS mismatch, max(CASE WHEN o AND k > 1 THEN low END) AS lowest FROM (
+  SELECT *, row_number() OVER (PARTITION BY f1, f2, o, r1, g1, b1 ORDER BY n DESC, r2, g2, b2) AS k FROM (
+    SELECT f1, f2, o, r1, g1, b1, r2, g2, b2, count(*) AS n, sum(CASE WHEN m THEN 1 ELSE 0 END) AS miss, max(y) AS low FROM (
+      SELECT f1, f2, y, coalesce(a1 >= 128 AND a2 >= 128, false) AS o, a1 IS NULL OR a2 IS NULL OR (a1 >= 128) <> (a2 >= 128) AS m, CASE WHEN a1 >= 128 AND a2 >= 128 THEN r1 END AS r1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g1 END AS g1, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b1 END AS b1,
         CASE WHEN a1 >= 128 AND a2 >= 128 THEN r2 END AS r2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN g2 END AS g2, CASE WHEN a1 >= 128 AND a2 >= 128 THEN b2 END AS b2
-      FROM (SELECT f1, f2, x, y, r AS r1, g AS g1, b AS b1, a AS a1 FROM pairs JOIN flat ON frame = f1) s FULL JOIN (SELECT f1, f2, x, y, r AS r2, g AS g2, b AS b2, a AS a2 FROM pairs JOIN flat ON frame = f2) t USING (f1, f2, x, y)) GROUP BY ALL) GROUP BY ALL) GROUP BY f1, f2""", X.PX_SQL, X.FLAT_SQL, _PAIRS)
+      FROM (SELECT f1, f2, x, y, r AS r1, g AS g1, b AS b1, a AS a1 FROM pairs JOIN flat ON frame = f1) s FULL JOIN (SELECT f1, f2, x, y, r AS r2, g AS g2, b AS b2, a AS a2 FROM pairs JOIN flat ON frame = f2) t USING (f1, f2, x, y)) GROUP BY ALL)) GROUP BY f1, f2""", X.PX_SQL, X.FLAT_SQL, _PAIRS)
 def colour_maps(spark, d):
     p = X.flat(_px(spark, d))
     pairs = p.select(C("frame").alias("f1")).distinct().select("f1", (C("f1") + 1).alias("f2"))
