@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 
-from . import project
+from . import batch, project, tools
+from .sources import service
 
 
 def _size(text: str) -> tuple[int, int]:
@@ -54,13 +56,45 @@ def parser() -> argparse.ArgumentParser:
     cmd("prepare", "folder", "out")
     cmd("smooth", "project", "done", "out")
     cmd("verify-roundtrip", "folder")
+    cmd("review", "project", "done", "out", zoom=4)
+    cmd("edit-image", "style", "path", "out", prompt_file=str, ref=str, mask=str, model=str)
+    cmd("batch", "job", "project", "name", spec="all", prompt_file=str, palette=str, style="images", frames=str)
+    cmd("tools", style="images")
     return p
 
 
+def _read(path: str | None) -> str:
+    if not path:
+        return ""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def _edit_image(a: argparse.Namespace) -> str:
+    """One picture through the service; references are separated by commas."""
+    load = lambda p: open(p, "rb").read()  # noqa: E731, SIM115
+    model = service.Service.configured(a.style, a.model, record=os.path.dirname(a.out) or ".")
+    data = model.edit(load(a.path), _read(a.prompt_file), tuple(map(load, a.ref.split(","))) if a.ref else (), load(a.mask) if a.mask else None)
+    with open(a.out, "wb") as f:
+        f.write(data)
+    return f"{a.out}: {len(data)} bytes"
+
+
+def _batch(s, a: argparse.Namespace):
+    """run, redo, requeue, status or autorun of a project's run."""
+    r = batch.Run(s, a.project, a.name, batch.Options(prompt=_read(a.prompt_file), palette=a.palette))
+    if a.job in ("run", "autorun"):
+        model = service.Service.configured(a.style)
+        return r.run(a.spec, model) if a.job == "run" else batch.autorun(r, a.spec, model, model.available)
+    return {"redo": r.redo, "status": r.status, "requeue": lambda: r.requeue([int(f) for f in a.frames.split(",")])}[a.job]()
+
+
 def main(argv: list[str] | None = None):
     a = parser().parse_args(argv)
     load = lambda path: json.load(open(path, encoding="utf-8"))  # noqa: E731, SIM115
     plain = {"info": lambda: project.info(a.path), "pack": lambda: project.pack(a.folder, a.out, a.store), "ani-build": lambda: project.build_script(load(a.path), a.out, a.keep_header)}
+    if a.command == "edit-image":
+        plain["edit-image"] = lambda: _edit_image(a)
     if a.command == "ani" and a.json:
         plain["ani"] = lambda: project.show_script(a.path)
     if a.command in plain:
@@ -90,6 +124,9 @@ def main(argv: list[str] | None = None):
             "prepare": lambda: project.prepare(s, a.folder, a.out),
             "smooth": lambda: project.smooth(s, a.project, a.done, a.out),
             "verify-roundtrip": lambda: project.verify(s, a.folder),
+            "review": lambda: project.review(s, a.project, a.done, a.out, a.zoom),
+            "batch": lambda: _batch(s, a),
+            "tools": lambda: tools.serve(tools.Workshop(s, lambda: service.Service.configured(a.style))),
         }[a.command]()
     if out is not None:
         print(json.dumps(out, indent=1) if not isinstance(out, str) else out)

@@ -5,7 +5,9 @@ generated code; integer arithmetic truncates toward zero."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 C = F.col
@@ -149,6 +151,42 @@ def hue_class() -> Column:
     return F.when(~opaque(), "none").when(l_ < 0.12, "dark").when(l_ > 0.9, "light").when(s < 0.15, "grey").when((h < 20) | (h >= 340), "red").when(h < 45, "skin").when(h < 70, "gold").when(h < 170, "green").when(h < 255, "blue").otherwise("violet")
 
 
+# Classes of colours that masks are made of, as conditions on h (hue in degrees), s, l (of hls) and r, g, b. A name in braces is another class.
+RULES = {
+    "skin": "(h <= 15 OR h >= 345) AND s > 0.25 AND l > 0.35",
+    "tan": "h >= 14 AND h <= 42 AND s > 0.35 AND l > 0.30 AND b >= 45",
+    "peach": "h >= 10 AND h <= 45 AND s > 0.15 AND l > 0.45",
+    "hair": "h >= 140 AND h <= 210 AND s > 0.20",
+    "cool_hair": "g > r + 25 AND b > r + 40 AND g > 80",
+    "gold": "h >= 16 AND h <= 50 AND s >= 0.45 AND l < 0.85",
+    "blue": "h >= 200 AND h <= 250 AND s > 0.30 AND l < 0.75 AND NOT {hair}",
+    "dark": "l < 0.40",
+    "frill": "s < 0.18 AND l > 0.70",
+    "trim": "h >= 35 AND h <= 60 AND s > 0.35",
+    "outfit": "NOT {peach} AND NOT {hair} AND ({dark} OR {trim} OR {frill})",
+    "cloth": "({outfit} OR {blue} OR {gold}) AND NOT {skin} AND NOT {hair}",
+    "effect": "h >= 60 AND h <= 300 AND s >= 0.10 AND l >= 0.35",
+    "pale_cloth": "NOT {tan} AND NOT {hair} AND NOT {effect} AND (s < 0.25 AND l > 0.25 OR s < 0.45 AND l > 0.70)",
+    "aura": "r > g + 30 AND b > g + 30 OR r > 2 * g + 40 AND r > 2 * b + 20",
+}
+
+
+def rule(name: str) -> str:
+    """The condition of a class, with those that it names put in."""
+    out = RULES[name]
+    for other in RULES:
+        if "{" + other + "}" in out:
+            out = out.replace("{" + other + "}", f"({rule(other)})")
+    return out
+
+
+def classes(px: DataFrame, names: Sequence[str] = tuple(RULES)) -> DataFrame:
+    """px with a boolean column for each class; false where not opaque."""
+    h, l_, s = hls(C("r"), C("g"), C("b"))
+    p = px.withColumns({"h": h, "l": l_, "s": s})
+    return p.select(*px.columns, *[(opaque() & F.expr(rule(n))).alias(n) for n in names])
+
+
 def sea(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
     """Violet to red hues (255 to 350 degrees, saturation 0.25 and more) become graded blues, very light ones foam; others stay.
     Rounded half to even."""

@@ -149,6 +149,14 @@ def hue_classes(spark, d):
     return _px(spark, d).select("frame", P.hue_class().alias("kind")).groupBy("frame", "kind").agg(F.count("*").alias("n"))
 
 
+_RULES = ", ".join(f"a >= 128 AND ({P.rule(n)}) AS {n}" for n in P.RULES)
+
+
+@query("p14_colour_rules", f"SELECT frame, x, y, {_RULES} FROM hls", X.PX_SQL, _HLS)
+def colour_rules(spark, d):
+    return P.classes(_px(spark, d)).drop(*"rgba")
+
+
 @query("p15_sea_colours", """SELECT frame, x, y, CASE WHEN hit THEN CASE WHEN v > 0.92 THEN 235 ELSE round_even(10 + 80 * v, 0)::INT END ELSE r END AS r, CASE WHEN hit THEN CASE WHEN v > 0.92 THEN 248 ELSE round_even(60 + 130 * v, 0)::INT END ELSE g END AS g,
   CASE WHEN hit THEN CASE WHEN v > 0.92 THEN 255 ELSE round_even(110 + 125 * v, 0)::INT END ELSE b END AS b FROM (SELECT *, h >= 255 AND h <= 350 AND sv >= 0.25 AS hit FROM hls)""", X.PX_SQL, _HLS)
 def sea(spark, d):

@@ -387,6 +387,15 @@ def smooth(spark: SparkSession, project: str, done: str, out: str) -> int:
     return write(px, stock.names, out)
 
 
+def review(spark: SparkSession, project: str, done: str, out: str, zoom: int = 4) -> int:
+    """A sheet per animation of a prepared project: stock over finished pictures, with frame numbers."""
+    stock, finished = Folder(spark, os.path.join(project, "stock")), Folder(spark, done)
+    steps = steps_of(spark, os.path.join(project, "anim.json"))
+    sheets = sinks.review_sheets(stock.px, finished.matched(stock.names), steps, zoom)
+    n = steps.agg(F.max("anim")).first()[0]
+    return write(sheets, [f"anim_{k:02d}.png" for k in range((n if n is not None else -1) + 1)], out)
+
+
 def bundle(spark: SparkSession, folder: str, out: str, fps: int = 8, zoom: int = 1) -> dict:
     return sinks.bundle(Folder(spark, folder).px, out, fps, zoom)
 

@@ -11,12 +11,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 from ..operators import animations, layout
-from ..operators.common import C, RGBA
+from ..operators.common import C, RGB, RGBA
 from . import containers, images, seal
 
 
@@ -151,12 +151,38 @@ def review_sheet(stock: DataFrame, result: DataFrame, zoom: int = 4, gap: int =
     top = stock.join(both, "frame", "left_semi")
     n = layout.sizes(top).join(layout.sizes(result).select("frame", C("width").alias("w2"), C("height").alias("h2")), "frame")
     n = n.select("frame", F.greatest("width", "w2").alias("w"), F.greatest("height", "h2").alias("h"))
+    beyond = (both.agg(F.max("frame")).first()[0] or 0) + 1  # results are numbered after all stock frames
     one = F.lit(0).cast("bigint").alias("sheet")
-    frames = n.select(one, C("frame").alias("ord"), "w", "h").unionByName(n.select(one, (C("frame") + 1_000_000).alias("ord"), "w", "h"))
-    px = top.select("frame", "x", "y", *RGBA).unionByName(result.select((C("frame") + 1_000_000).alias("frame"), "x", "y", *RGBA))
+    frames = n.select(one, C("frame").alias("ord"), "w", "h").unionByName(n.select(one, (C("frame") + beyond).alias("ord"), "w", "h"))
+    px = top.select("frame", "x", "y", *RGBA).unionByName(result.select((C("frame") + beyond).alias("frame"), "x", "y", *RGBA))
     return layout.sheet(px, layout.sheet_manifest(frames, zoom, gap, 2), zoom, (64, 64, 64))
 
 
+#: Digits of three by five, rows as octal digits from the top.
+_GLYPHS = [0o75557, 0o26227, 0o71747, 0o71717, 0o55711, 0o74717, 0o74757, 0o71111, 0o75757, 0o75717]
+
+
+def review_sheets(stock: DataFrame, result: DataFrame, steps: DataFrame, zoom: int = 4, per_row: int = 8, bg: tuple[int, int, int] = (60, 60, 60)) -> DataFrame:
+    """Pixels of a sheet per animation (frame is the animation): every frame that it plays and that has a result, in order, its stock over its result and its
+    number above both, ``per_row`` a row. All sheets come from one plan; an animation is a few frames."""
+    order = Window.partitionBy("anim")
+    seq = animations.played(steps).groupBy("anim", C("frame").cast("bigint").alias("frame")).agg(F.min("step").alias("step")).join(result.select("frame").distinct(), "frame").join(layout.sizes(stock), "frame")
+    cells = seq.select("anim", "frame", C("height").alias("_h"), (F.row_number().over(order.orderBy("step")) - 1).alias("k"), (F.max("width").over(order) * zoom + 8).alias("cw"), ((F.max("height").over(order) * 2 + 2) * zoom + 22).alias("ch"), F.count("*").over(order).alias("n"))
+    cells = cells.withColumns({"ox": C("k") % per_row * C("cw") + 4, "oy": F.floor(C("k") / per_row).cast("int") * C("ch") + 20})
+    drawn = stock.select("frame", "x", "y", *RGBA).withColumn("_low", F.lit(0)).unionByName(result.select("frame", "x", "y", *RGBA).withColumn("_low", F.lit(1))).where("a > 0")
+    spread = F.explode(F.sequence(F.lit(0), F.lit(zoom - 1)))
+    drawn = drawn.join(cells, "frame").withColumn("y", C("y") + C("_low") * (C("_h") + 2)).withColumn("dx", spread).withColumn("dy", spread)
+    drawn = drawn.select("anim", (C("ox") + C("x") * zoom + C("dx")).cast("int").alias("x"), (C("oy") + C("y") * zoom + C("dy")).cast("int").alias("y"), *[P.over(C(c), F.lit(v), C("a")).cast("int").alias(c) for c, v in zip(RGB, bg)])
+    letters = cells.select("anim", "ox", "oy", F.posexplode(F.split(C("frame").cast("string"), "")).alias("i", "d")).where("d <> ''")
+    bits = letters.select("anim", "ox", "oy", "i", F.element_at(F.array(*[F.lit(g) for g in _GLYPHS]), C("d").cast("int") + 1).alias("g"), F.explode(F.sequence(F.lit(0), F.lit(14))).alias("bit")).where((F.call_function("shiftright", C("g"), 14 - C("bit")) % 2) == 1)
+    label = bits.select("anim", (C("ox") + (C("i") * 4 + C("bit") % 3) * 2).cast("int").alias("x"), (C("oy") - 14 + F.floor(C("bit") / 3) * 2).cast("int").alias("y"))
+    label = label.withColumn("x", F.explode(F.array("x", C("x") + 1))).withColumn("y", F.explode(F.array("y", C("y") + 1))).select("anim", "x", "y", *[F.lit(255).alias(c) for c in RGB])
+    area = cells.groupBy("anim").agg((F.max("cw") * F.least(F.max("n"), F.lit(per_row))).cast("int").alias("w"), (F.max("ch") * F.ceil(F.max("n") / per_row)).cast("int").alias("h"))
+    area = area.withColumn("x", F.explode(F.sequence(F.lit(0), C("w") - 1))).withColumn("y", F.explode(F.sequence(F.lit(0), C("h") - 1))).select("anim", "x", "y")
+    out = area.join(drawn.unionByName(label), ["anim", "x", "y"], "left")
+    return out.select(C("anim").cast("bigint").alias("frame"), "x", "y", *[F.coalesce(c, F.lit(v)).alias(c) for c, v in zip(RGB, bg)], F.lit(255).alias("a"))
+
+
 def editor_layers(px: DataFrame, box: tuple[int, int]) -> DataFrame:
     """frame, x, y, r, g, b, a, and per pixel ``outside`` and ``partial``: ordered layers (frame, layer, x, y, r, g, b, a; hidden and reference layers left out by the
     caller) laid over each other, those off the frame's box and those neither clear nor opaque marked. Layers are few, and fold in order per place."""

@@ -113,3 +113,18 @@ def test_stream(spark, tmp_path):
     out = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r["frame"], r["count"]) for r in out.groupBy("frame").count().collect()) == [(1, 16), (2, 9)]
     assert out.select("r").distinct().collect()[0]["r"] == 250
+
+
+def test_review_sheets(spark):
+    """A sheet per animation: stock over result, numbers above, frames without a result left out."""
+    stock = px_of(spark, [(f, x, y, 10 * f, 0, 0, 255) for f in (1, 2, 12) for x in range(3) for y in range(2)])
+    result = px_of(spark, [(f, x, y, 0, 10 * f, 0, 255) for f in (2, 12) for x in range(3) for y in range(2)])
+    steps = spark.createDataFrame([(0, 0, 12, 2), (0, 1, 1, 2), (0, 2, 2, 2), (1, 0, 2, 0)], "anim int, step int, frame int, last int")
+    steps = steps.select("anim", "step", "frame", *[F.lit(0).alias(c) for c in "xyz"], "last")
+    out = {(r["frame"], r["x"], r["y"]): (r["r"], r["g"], r["b"]) for r in sinks.review_sheets(stock, result, steps, zoom=2, per_row=8).collect()}
+    cw, ch = 3 * 2 + 8, 6 * 2 + 22
+    assert {k[0] for k in out} == {0, 1} and sum(k[0] == 0 for k in out) == 2 * cw * ch and sum(k[0] == 1 for k in out) == cw * ch
+    assert out[0, 4, 20] == (120, 0, 0) and out[0, 4, 20 + 8] == (0, 120, 0) and out[0, 4, 20 + 5] == (60, 60, 60)
+    assert out[0, cw + 4, 20] == (20, 0, 0) and out[1, 4, 20] == (20, 0, 0)
+    white = sum(v == (255, 255, 255) for k, v in out.items() if k[0] == 1)
+    assert white == 4 * bin(sinks._GLYPHS[2]).count("1")

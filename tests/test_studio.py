@@ -44,3 +44,25 @@ def test_animate_and_edit(spark, tmp_path, monkeypatch):
         assert (strip[:, :10] == strip[:, 10:]).all() and strip[5, 5].tolist() == [206, 32, 33, 255]
     path = studio.edit(spark, Painter(), f"{tmp_path}/s.png", str(tmp_path / "e"), "same")
     assert (images.decode_png(open(path, "rb").read()) == im).all()
+
+
+def test_tools(spark, tmp_path):
+    import io
+    import json
+
+    from tessella import tools
+
+    shop = tools.Workshop(spark, Painter)
+    ask = lambda method, **params: tools.answer(shop, {"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
+    assert ask("initialize")["result"]["serverInfo"]["name"] == "tessella" and tools.answer(shop, {"method": "notifications/initialized"}) is None
+    listed = {t["name"]: t["inputSchema"] for t in ask("tools/list")["result"]["tools"]}
+    assert set(listed) == set(tools.NAMES) and listed["create"]["required"] == ["outdir", "prompt"] and listed["create"]["properties"]["variants"] == {"type": "integer"}
+    made = ask("tools/call", name="create", arguments={"outdir": str(tmp_path), "prompt": "hero", "size": "16"})["result"]
+    assert not made["isError"] and made["content"][1]["mimeType"] == "image/png" and (tmp_path / "sprite.png").exists()
+    seen = ask("tools/call", name="look", arguments={"path": str(tmp_path / "sprite.png")})["result"]
+    assert seen["content"][0]["text"].startswith("16 by 16") and images.decode_png(tools.preview(str(tmp_path / "sprite.png"), 100)).shape == (96, 96, 4)
+    assert ask("tools/call", name="palettes")["result"]["content"][0]["text"].count("colours") > 1
+    assert ask("tools/call", name="look", arguments={"path": "/nowhere.png"})["result"]["isError"] and ask("tools/call", name="x")["error"]["code"] == -32602 and ask("y")["error"]["code"] == -32601
+    out = io.StringIO()
+    tools.serve(shop, io.StringIO('{"id": 3, "method": "ping"}\n\n{bad\n'), out)
+    assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [3, None] and tools.size("8x9") == (8, 9)
