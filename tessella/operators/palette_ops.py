@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,16 +22,27 @@ def _metric(name: str):
 INLINE = 64
 
 
-def nearest(px: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataFrame:
-    """Opaque pixels with r, g, b replaced by the nearest palette colour; ties go to the entry first in order. A short palette is
-    a literal array inside a projection, so pixels are not shuffled. A long one meets the distinct colours, whose number the
-    colour space bounds, and they join back."""
-    on, entries = px.where(P.opaque()), entries_of(palette)
+def with_nearest(px: DataFrame, palette: DataFrame, name: str = "_m", metric: str = "rgb", banned: tuple[int, int, int] | None = None) -> DataFrame:
+    """px with ``name``: struct (d, ord, pr, pg, pb) of the palette colour nearest to r, g, b (other than ``banned``), the first in order of equals, null without
+    one. A short palette is a literal array in the projection, so pixels are not shuffled. A long one is one array value that
+    every distinct colour is held against, however many pixels have it, and the results join back; in a stream, every pixel is."""
+    entries = [e for e in entries_of(palette) if e[1:] != banned]
     if len(entries) <= INLINE:
-        return on.withColumn("_m", nearest_struct(entries, metric)).select("frame", "x", "y", C("_m.pr").alias("r"), C("_m.pg").alias("g"), C("_m.pb").alias("b"), "a")
-    pairs = on.select(*RGB).distinct().crossJoin(F.broadcast(palette.select("ord", "pr", "pg", "pb")))
-    near = pairs.groupBy(*RGB).agg(F.min(F.struct(_metric(metric)(rgb(), (C("pr"), C("pg"), C("pb"))).cast("bigint").alias("d"), "ord", "pr", "pg", "pb")).alias("_m"))
-    return on.join(near, list(RGB)).select("frame", "x", "y", C("_m.pr").alias("r"), C("_m.pg").alias("g"), C("_m.pb").alias("b"), "a")
+        return px.withColumn(name, nearest_struct(entries, metric))
+    text = json.dumps([dict(zip(("ord", "pr", "pg", "pb"), e)) for e in entries])
+    all_ = F.from_json(F.lit(text), "array<struct<ord:int,pr:int,pg:int,pb:int>>")
+    d = _metric(metric)
+    found = F.array_min(F.transform(all_, lambda e: F.struct(d(rgb(), (e["pr"], e["pg"], e["pb"])).cast("bigint").alias("d"), e["ord"].alias("ord"), e["pr"].alias("pr"), e["pg"].alias("pg"), e["pb"].alias("pb"))))
+    if px.isStreaming:
+        return px.withColumn(name, found)
+    near = px.select(*RGB).distinct().withColumn(name, found)
+    return px.join(near, list(RGB), "left").select(*px.columns, name)
+
+
+def nearest(px: DataFrame, palette: DataFrame, metric: str = "rgb") -> DataFrame:
+    """Opaque pixels with r, g, b replaced by the nearest palette colour; ties go to the entry first in order."""
+    on = with_nearest(px.where(P.opaque()), palette, "_m", metric).where("_m is not null")
+    return on.select("frame", "x", "y", C("_m.pr").alias("r"), C("_m.pg").alias("g"), C("_m.pb").alias("b"), "a")
 
 
 def entries_of(palette: DataFrame) -> list[tuple[int, int, int, int]]:
@@ -49,8 +62,7 @@ def nearest_struct(entries: list[tuple[int, int, int, int]], metric: str = "rgb"
 
 def second_nearest(px: DataFrame, palette: DataFrame, banned: tuple[int, int, int]) -> DataFrame:
     """Opaque pixels with the nearest palette colour other than ``banned``; their own colour where there is none."""
-    m = nearest_struct(entries_of(palette), banned=banned)
-    on = px.where(P.opaque()).withColumn("_m", m)
+    on = with_nearest(px.where(P.opaque()), palette, "_m", banned=banned)
     return on.select("frame", "x", "y", *[F.coalesce(f"_m.p{c}", c).alias(c) for c in RGB], "a")
 
 
@@ -63,15 +75,14 @@ def is_background(bg: tuple[int, int, int], near: Column) -> Column:
 
 def decided(px: DataFrame, palette: DataFrame, bg: tuple[int, int, int], metric: str = "rgb") -> DataFrame:
     """frame, x, y, bg (whether background) and pr, pg, pb (null for background) of every pixel."""
-    p = px.withColumn("_m", nearest_struct(entries_of(palette), metric)).withColumn("bg", is_background(bg, C("_m")))
+    p = with_nearest(px, palette, "_m", metric).withColumn("bg", is_background(bg, C("_m")))
     return p.select("frame", "x", "y", "bg", *[F.when(~C("bg"), C(f"_m.p{c}")).alias(f"p{c}") for c in RGB])
 
 
 def conform(px: DataFrame, palette: DataFrame, threshold: int = P.OPAQUE, key: tuple[int, int, int] | None = None, input_key: tuple[int, int, int] | None = None) -> DataFrame:
     """Pixels on palette colours: alpha under the threshold, or a pixel nearer to ``input_key`` than to the palette, becomes
     clear black; the rest opaque. A pixel that would take the colour key gets the nearest other colour."""
-    entries = entries_of(palette)
-    p = px.withColumn("_m", nearest_struct(entries)).withColumn("_s", nearest_struct(entries, banned=key))
+    p = with_nearest(with_nearest(px, palette, "_m"), palette, "_s", banned=key)
     out = C("a") < threshold
     if input_key is not None:
         d = P.dist2(rgb(), input_key)

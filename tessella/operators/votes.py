@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import pixels as P
 from .common import C, NB8, RGB, neighbours, rgb
-from .palette_ops import entries_of, is_background, nearest_struct
+from .palette_ops import is_background, with_nearest
 
 COLOUR = "struct<r:int,g:int,b:int>"
 MIN_RESOLVE, MIN_GRAIN, WEAK = 0.2, 0.05, 0.6
@@ -18,11 +18,10 @@ MIN_RESOLVE, MIN_GRAIN, WEAK = 0.2, 0.05, 0.6
 
 def _candidates(px: DataFrame, palette: DataFrame, bg: tuple[int, int, int], keyed: tuple[int, int, int] | None, metric: str) -> DataFrame:
     """px with ``c``: the palette colour a pixel votes for, null for background."""
-    e = entries_of(palette)
-    p = px.withColumn("_m", nearest_struct(e, metric))
+    p = with_nearest(px, palette, "_m", metric)
     pick = F.struct(*[C(f"_m.p{c}").alias(c) for c in RGB])
     if keyed is not None:
-        p = p.withColumn("_s", nearest_struct(e, banned=keyed))
+        p = with_nearest(p, palette, "_s", banned=keyed)
         hit = (C("_m.pr") == keyed[0]) & (C("_m.pg") == keyed[1]) & (C("_m.pb") == keyed[2])
         pick = F.when(hit, F.struct(*[F.coalesce(f"_s.p{c}", c).alias(c) for c in RGB])).otherwise(pick)
     return p.withColumn("c", F.when(~is_background(bg, C("_m")), pick))

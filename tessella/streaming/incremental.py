@@ -21,10 +21,8 @@ def arriving(spark: SparkSession, folder: str) -> DataFrame:
 
 def conformed(spark: SparkSession, folder: str, palette: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Starts a query that writes pixels of arriving frames on the palette as Parquet under ``out``; ends when the files present are done."""
-    pal = palette_ops.entries_of(palette)
-    px = readers.pixels(arriving(spark, folder))
-    m = palette_ops.nearest_struct(pal)
-    done = px.where("a >= 128").withColumn("_m", m).select("frame", "x", "y", *[F.col(f"_m.p{c}").alias(c) for c in "rgb"], "a")
+    px = readers.pixels(arriving(spark, folder)).where("a >= 128")
+    done = palette_ops.with_nearest(px, palette).select("frame", "x", "y", *[F.col(f"_m.p{c}").alias(c) for c in "rgb"], "a")
     return done.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

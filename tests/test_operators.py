@@ -310,6 +310,20 @@ def test_smooth_carries_unchanged(spark):
     assert {r["r"] for r in out.collect()} == {50} and out.count() == 72
 
 
+def test_long_palettes_give_what_short_ones_do(spark, monkeypatch):
+    """Every operator on palettes, with the palette as literals and as one value."""
+    p = px_of(spark, [(f, x, y, (x * 37 + f * 50) % 256, y * 29 % 256, (x * y * 11) % 256, 255 if (x + y) % 5 else 60) for f in (0, 1) for x in range(9) for y in range(8)])
+    pal = palettes.table(spark, [(i * 25 % 256, i * 61 % 256, i * 97 % 256) for i in range(20)] + [(0, 0, 0)])
+
+    def all_():
+        out = [palette_ops.nearest(p, pal), palette_ops.nearest(p, pal, "redmean"), palette_ops.second_nearest(p, pal, (0, 0, 0)), palette_ops.decided(p, pal, (128, 128, 128)), palette_ops.conform(p, pal, key=(0, 0, 0), input_key=(0, 29, 0))]
+        return [sorted(map(tuple, d.collect()), key=str) for d in out]
+
+    short = all_()
+    monkeypatch.setattr(palette_ops, "INLINE", 3)
+    assert all_() == short
+
+
 def _slow_smooth(stock, drawn, boxes, seqs):
     """Frames as dicts of places, carried one after the other."""
     zero = (0, 0, 0, 0)
