@@ -114,3 +114,84 @@ def chest_rows(mask: DataFrame, least: int = 3, tolerance: int = 1) -> DataFrame
     g = top.groupBy("frame", "part").agg(F.min("y").alias("y0"), F.max("y").alias("y1"), F.min("start").alias("x0"), F.max("stop").alias("x1"))
     best = g.groupBy("frame").agg(F.max(F.struct((C("y1") - C("y0")).alias("len"), (-C("y0")).alias("k"), "y0", "y1", "x0", "x1")).alias("m"))
     return best.select("frame", *[C(f"m.{c}").alias(c) for c in ("y0", "y1", "x0", "x1")])
+
+
+def baked(stock: DataFrame, finished: DataFrame, painted: DataFrame, least: int = 8) -> DataFrame:
+    """Every frame of the stock as finished, else as painted by rules where the frame is wider than ``least``, else as it is; frames are taken as a whole."""
+    wide = stock.groupBy("frame").agg((F.max("x") + 1 > least).alias("_wide"))
+    have = wide.join(finished.select("frame", F.lit(True).alias("_f")).distinct(), "frame", "left").join(painted.select("frame", F.lit(True).alias("_p")).distinct(), "frame", "left")
+    source = have.select("frame", F.when(C("_f"), "finished").when(C("_p") & C("_wide"), "painted").otherwise("stock").alias("_of"))
+    parts = [d.select("frame", "x", "y", *RGBA, F.lit(n).alias("_of")) for d, n in ((finished, "finished"), (painted, "painted"), (stock, "stock"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).join(source, ["frame", "_of"], "left_semi").drop("_of")
+
+
+def replaced(archive: DataFrame, done: DataFrame) -> DataFrame:
+    """The frames of another archive, those that ``done`` has under the same number and in the same size replaced."""
+    size = lambda d: d.groupBy("frame").agg(F.max("x").alias("w"), F.max("y").alias("h"))
+    same = size(archive).join(size(done), ["frame", "w", "h"]).select("frame")
+    return archive.join(same, "frame", "left_anti").select("frame", "x", "y", *RGBA).unionByName(done.join(same, "frame", "left_semi").select("frame", "x", "y", *RGBA))
+
+
+def enlarged(px: DataFrame, mask: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """Frames k times as large for painting over, and their masks as white on black pictures of that size."""
+    from . import layout
+
+    m = px.join(mask.select("frame", "x", "y", F.lit(255).alias("_m")).distinct(), ["frame", "x", "y"], "left")
+    return layout.upscale(px, k), layout.upscale(m.select("frame", "x", "y", *[F.coalesce("_m", F.lit(0)).alias(c) for c in RGB], F.lit(255).alias("a")), k)
+
+
+def swatches(ramps: DataFrame, block: int = 8) -> DataFrame:
+    """A reference picture per ramp (frame, ord, r, g, b): its colours side by side in blocks, in order."""
+    side = F.explode(F.sequence(F.lit(0), F.lit(block - 1)))
+    p = ramps.withColumn("dx", side).withColumn("y", side)
+    return p.select("frame", (C("ord") * block + C("dx")).cast("int").alias("x"), C("y").cast("int").alias("y"), *RGB, F.lit(255).alias("a"))
+
+
+def graft_beside(stock: DataFrame, finished: DataFrame, mask: DataFrame, shifts: DataFrame, effect: str, stamp: bool = False) -> DataFrame:
+    """A graft that leaves effects alone: places whose stock is of the colour class ``effect`` stay as they are, and the donor's effects are not brought along."""
+    from . import alignment
+
+    glow = P.classes(stock, (effect,)).where(effect).select("frame", "x", "y")
+    own = P.classes(finished, (effect,)).where(f"not {effect}").drop(effect)
+    done = alignment.graft(stock, own, mask.join(glow, ["frame", "x", "y"], "left_anti"), shifts, stamp)
+    back = done.join(glow, ["frame", "x", "y"], "left_semi").select("frame", "x", "y").join(stock, ["frame", "x", "y"]).select("frame", "x", "y", *RGBA, F.lit(False).alias("grafted"))
+    return done.join(glow, ["frame", "x", "y"], "left_anti").unionByName(back)
+
+
+def difference_mask(stock: DataFrame, reference: DataFrame, shifts: DataFrame, least: int = 1, near: int = 30) -> DataFrame:
+    """Opaque places of frames f that the reference's frame g, moved by the shift, does not have alike (sum of differences over ``near``), in components of
+    ``least`` places and more."""
+    from . import alignment
+
+    s = stock.join(shifts.select(C("f").alias("frame")).distinct(), "frame").where(P.opaque())
+    was = alignment.moved_to(reference, shifts, "q").withColumnRenamed("f", "frame")
+    j = s.join(was, ["frame", "x", "y"], "left").withColumns({f"q{c}": F.coalesce(f"q{c}", F.lit(0)) for c in RGBA})
+    differs = ~P.opaque("qa") | (P.l1((C("r"), C("g"), C("b")), (C("qr"), C("qg"), C("qb"))) > near)
+    out = j.where(differs).select("frame", "x", "y", *RGBA)
+    return (components.drop_small(out, least) if least > 1 else out).select("frame", "x", "y")
+
+
+def alone(body: DataFrame, pieces: DataFrame, gap: int) -> DataFrame:
+    """The places of pieces that are not part of the body's figure: what stands by itself."""
+    return pieces.select("frame", "x", "y").join(figure(body, pieces, gap), ["frame", "x", "y"], "left_anti")
+
+
+def garment(px: DataFrame, wanted: str, band: tuple[float, float] = (0.0, 1.0), least: int = 6) -> DataFrame:
+    """The places of a colour class in a band of a frame's opaque height (shares from its top), without lines a pixel wide and components under ``least`` places."""
+    box = px.where(P.opaque()).groupBy("frame").agg(F.min("y").alias("y0"), F.max("y").alias("y1"))
+    height = C("y1") - C("y0") + 1
+    inside = (C("y") >= C("y0") + height * band[0]) & (C("y") < C("y0") + height * band[1])
+    hit = P.classes(px, (wanted,)).where(wanted).join(box, "frame").where(inside).select("frame", "x", "y")
+    solid = nh.opened(hit)
+    return components.drop_small(px.join(solid, ["frame", "x", "y"], "left_semi"), least).select("frame", "x", "y")
+
+
+def painted(px: DataFrame, mask: DataFrame, ramp: list[tuple[int, int, int]], outline: tuple[int, int, int] | None = None) -> DataFrame:
+    """A mask's places painted in a ramp by their lightness among themselves, its edge in a colour of its own where one is given."""
+    from . import masks
+
+    out = masks.recolour_region(px, mask, ramp).drop("bin")
+    if outline is None:
+        return out
+    edge = nh.contour(mask).select("frame", "x", "y", F.lit(True).alias("_e"))
+    return out.join(edge, ["frame", "x", "y"], "left").select("frame", "x", "y", *[F.when(C("_e"), v).otherwise(C(c)).alias(c) for c, v in zip(RGB, outline)], "a")

@@ -377,6 +377,49 @@ def backfill(spark, d):
     return samples.backfill(X.alt(p), p)
 
 
+@query("k19_bake", "SELECT * FROM alt WHERE frame % 3 = 0 UNION ALL SELECT * FROM flat WHERE frame % 3 = 1 UNION ALL SELECT frame, x, y, r, g, b, a FROM px WHERE frame % 3 = 2", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL)
+def bake(spark, d):
+    p = X.px(spark, d)
+    return samples.baked(p, X.alt(p).where("frame % 3 = 0"), X.flat(p).where("frame % 3 < 2"))
+
+
+@query("k21_enlarged_masks", "SELECT p.frame, p.x * 2 + dx AS x, p.y * 2 + dy AS y, CASE WHEN m.frame IS NULL THEN 0 ELSE 255 END AS r, CASE WHEN m.frame IS NULL THEN 0 ELSE 255 END AS g, CASE WHEN m.frame IS NULL THEN 0 ELSE 255 END AS b, 255 AS a FROM px p LEFT JOIN fg m USING (frame, x, y) CROSS JOIN (VALUES (0), (1)) i(dx) CROSS JOIN (VALUES (0), (1)) j(dy)", X.PX_SQL, X.FG_SQL)
+def enlarged_masks(spark, d):
+    p = X.px(spark, d)
+    return samples.enlarged(p, X.fg(p), 2)[1]
+
+
+@query("j18_difference_mask", "SELECT p.frame, p.x, p.y FROM flat p LEFT JOIN alt q ON q.frame = p.frame + 1 AND q.x = p.x - 1 AND q.y = p.y + 1 WHERE p.a >= 128 AND (coalesce(q.a, 0) < 128 OR abs(p.r - q.r) + abs(p.g - q.g) + abs(p.b - q.b) > 30)", X.PX_SQL, X.ALT_SQL, X.FLAT_SQL)
+def difference_mask(spark, d):
+    p = X.px(spark, d)
+    shifts = p.select(C("frame").alias("f")).distinct().select("f", (C("f") + 1).alias("g"), F.lit(1).alias("dx"), F.lit(-1).alias("dy"))
+    return samples.difference_mask(X.flat(p), X.alt(p), shifts)
+
+
+@query("c08_garment", None)
+def garment(spark, d):
+    return samples.garment(X.flat(X.px(spark, d)), "dark", (0.2, 0.9), 4)
+
+
+@query("c09_painted", None)
+def painted(spark, d):
+    p = X.px(spark, d)
+    return samples.painted(p, X.fg(p), [(20, 10, 40), (90, 60, 120), (220, 200, 240)], (0, 0, 0))
+
+
+@query("j15_graft_beside_effects", None)
+def graft_beside(spark, d):
+    p = X.px(spark, d)
+    shifts = p.select(C("frame").alias("f")).distinct().select("f", (C("f") + 1).alias("g"), F.lit(0).alias("dx"), F.lit(0).alias("dy"))
+    return samples.graft_beside(X.flat(p), X.alt(p), p.where("y >= 4").select("frame", "x", "y"), shifts, "aura")
+
+
+@query("c07_alone", None)
+def alone(spark, d):
+    p = X.px(spark, d)
+    return samples.alone(p.where("x between 7 and 8 and y between 7 and 8"), p.where("r < 60"), 1)
+
+
 @query("c07_drop_scraps", None)
 def scraps(spark, d):
     return samples.without_scraps(X.flat(X.px(spark, d)), [(0, 0, 0), (192, 96, 128)], 4)

@@ -460,6 +460,35 @@ def test_empty_tables(spark):
     assert components.components(e).count() == 0 and votes.edge_positions(e).count() == 0
 
 
+def test_more_samples(spark):
+    p = px_of(spark, [(f, x, y, *RED, 255) for f, w in ((0, 4), (1, 12), (2, 12)) for x in range(w) for y in range(3)])
+    blue = p.where("frame < 2").withColumns({"r": p.r * 0, "b": p.b * 0 + 9})
+    done = p.where("frame = 2").withColumn("g", p.g * 0 + 77)
+    out = samples.baked(p, done, blue)
+    assert {(r["frame"], r["r"], r["g"], r["b"]) for r in out.collect()} == {(0, *RED), (1, 0, RED[1], 9), (2, RED[0], 77, RED[2])} and out.count() == p.count()
+    other = px_of(spark, [(0, x, y, *BLUE, 255) for x in range(9) for y in range(3)] + [(2, x, y, *BLUE, 255) for x in range(12) for y in range(3)])
+    assert {(r["frame"], r["g"]) for r in samples.replaced(other, done).collect()} == {(0, BLUE[1]), (2, 77)}
+    big, mask = samples.enlarged(p.where("frame = 0"), p.where("frame = 0 and x = 1"), 3)
+    assert big.count() == 108 and rows(mask.where("r = 255"), "x") == [(x,) for x in (3, 4, 5) for _ in range(9)]
+    sw = samples.swatches(spark.createDataFrame([(0, 0, 1, 2, 3), (0, 1, 4, 5, 6)], "frame bigint, ord int, r int, g int, b int"), 2)
+    assert rows(sw, "x", "y", "r") == [(x, y, 1 if x < 2 else 4) for x in range(4) for y in range(2)]
+    a = px_of(spark, picture("rrrr rrrr r..r", K))
+    b = px_of(spark, picture("rrrr rbbr ....", K))
+    shift = spark.createDataFrame([(0, 0, 0, 0)], "f bigint, g bigint, dx int, dy int")
+    assert rows(samples.difference_mask(a, b, shift), "x", "y") == [(0, 2), (1, 1), (2, 1), (3, 2)]
+    assert rows(samples.difference_mask(a, b, shift, least=5), "x", "y") == []
+    lone = samples.alone(a.where("x = 0 and y = 0"), px_of(spark, picture("rr..r ..... r....", K)).where("a > 0"), 1)
+    assert rows(lone, "x", "y") == [(0, 2), (4, 0)]
+    dark = px_of(spark, [(0, x, y, 30, 20, 30, 255) for x in range(5) for y in range(5)] + [(0, x, 9, 30, 20, 30, 255) for x in range(9)])
+    assert rows(samples.garment(dark, "dark", (0.0, 0.6), 4), "x", "y") == [(x, y) for x in range(5) for y in range(5)]
+    inked = samples.painted(dark, dark.where("y < 5").select("frame", "x", "y"), [(1, 1, 1), (2, 2, 2)], (9, 9, 9))
+    assert {(r["r"], r["y"] == 9) for r in inked.collect()} == {(9, False), (0, False), (30, True)}  # ramps are 16-bit colours
+    glow = px_of(spark, [(0, 0, 0, 200, 20, 200, 255), (0, 1, 0, *GREY, 255)])
+    donor = px_of(spark, [(0, 0, 0, *BLUE, 255), (0, 1, 0, *BLUE, 255)])
+    got = samples.graft_beside(glow, donor, glow.select("frame", "x", "y"), shift, "aura", stamp=True)
+    assert rows(got, "x", "r", "grafted") == [(0, 200, False), (1, BLUE[0], True)]
+
+
 def test_samples(spark):
     p = px_of(spark, picture("rr...b rr...b ...... ..rr.. ..rr.. ......", K))
     red, blue = p.where("r = 200 and a > 0"), p.where("b = 200 and a > 0")
