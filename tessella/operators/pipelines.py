@@ -91,20 +91,33 @@ def walk(sequences: dict[int, list[int]], settled: set[int], keys: dict[int, int
     return out
 
 
+def turns(drawn: DataFrame, steps: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+    """anim, step, frame, fixed: what a walk has to know of the animations' drawn frames, at their first played step: those that their animation is the first to
+    play and that are not settled (fixed) before, with the ones next to them. Three rows per frame at most, however many steps and animations there are; an
+    animation without a new frame has none."""
+    seq = animations.sequence(steps).join(drawn.select("frame").distinct(), "frame", "left_semi")
+    done = settled.select("frame").distinct() if settled is not None else drawn.select("frame").limit(0)
+    new = seq.groupBy("frame").agg(F.min("anim").alias("anim")).join(done, "frame", "left_anti").withColumn("_new", F.lit(True))
+    w = Window.partitionBy("anim").orderBy("step", "frame")
+    near = seq.join(new, ["anim", "frame"], "left").withColumn("_near", F.coalesce("_new", F.lag("_new").over(w), F.lead("_new").over(w)))
+    fixed = done.withColumn("fixed", F.lit(True))
+    return near.where("_near").join(fixed, "frame", "left").select("anim", "step", "frame", F.coalesce("fixed", F.lit(False)).alias("fixed"))
+
+
 def smooth(stock: DataFrame, drawn: DataFrame, crops: DataFrame, steps: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """Finished frames: within each animation, in play order, a frame takes over what the one before it settled wherever the stock did not change.
 
     An animation that has no settled frame starts at its medoid, which is taken as drawn; frames settled before stay. Animations are walked in order, as one
-    settles frames for the next. The walk is made on the driver from the step table (a few rows per frame). Shifts between neighbours hang on the stock
+    settles frames for the next. The walk is made on the driver from ``turns`` (three rows per frame at most). Shifts between neighbours hang on the stock
     alone, so all are found at once, and with their sums every frame gets the coordinates of the first frame of its chain: what a pixel may take over
     stands at its own place there. So the fold over the frames needs one shuffle, by chain and row of pixels; a task holds one row of a chain's frames."""
-    have = {r["frame"] for r in drawn.select("frame").distinct().collect()}
     seq: dict[int, list[int]] = {}
-    for r in animations.played(steps).orderBy("anim", "step").collect():
-        if r["frame"] in have and r["frame"] not in seq.setdefault(r["anim"], []):
-            seq[r["anim"]].append(r["frame"])
+    fixed = set()
+    for r in turns(drawn, steps, settled).orderBy("anim", "step", "frame").collect():
+        seq.setdefault(r["anim"], []).append(r["frame"])
+        if r["fixed"]:
+            fixed.add(r["frame"])
     spark, px_of_drawn = stock.sparkSession, drawn.select("frame", "x", "y", *RGBA)
-    fixed = {r["frame"] for r in settled.select("frame").distinct().collect()} if settled is not None else set()
     known, unkeyed = set(fixed), []
     for a in sorted(seq):
         if seq[a] and not known & set(seq[a]):

@@ -402,6 +402,41 @@ def test_smooth_matches_a_walk(spark):
     assert again.count() == 72 * len(played)
 
 
+def test_smooth_brings_few_steps_to_the_driver(spark, monkeypatch):
+    """Rows that reach the driver follow the frames, not the steps or the animations."""
+    px = px_of(spark, [(f, x, y, 90 * f, 40, 200, 255) for f in range(3) for x in range(4) for y in range(4)])
+    steps = spark.range(4000).selectExpr("cast(id % 40 as int) anim", "cast(id div 40 as int) step", "cast((id div 40 + id % 2) % 4 as int) frame", "0 x", "0 y", "0 z", "99 last")
+    seen, plain = [], type(px).collect
+    monkeypatch.setattr(type(px), "collect", lambda self: (out := plain(self), seen.append(len(out)))[0])
+    out = pipelines.smooth(px, px, layout.boxes(px), steps)
+    assert seen and max(seen) <= 9
+    assert out.count() == 48
+
+
+def test_turns_walk_like_all_steps(spark):
+    """The thinned steps give the walk that all steps give, whatever was settled before and whichever animations are keyed."""
+    import random
+
+    rng = random.Random(5)
+    for _ in range(6):
+        plays = {a: [rng.randrange(-1, 14) for _ in range(rng.choice([1, 3, 8, 15]))] for a in range(rng.choice([2, 9]))}
+        drawn, fixed = set(rng.sample(range(14), 11)), set(rng.sample(range(14), rng.choice([0, 3])))
+        steps = spark.createDataFrame([(a, i, f, 0, 0, 0, len(q) - 2) for a, q in plays.items() for i, f in enumerate(q)], "anim int, step int, frame int, x int, y int, z int, last int")
+        table = lambda fs: px_of(spark, [(f, 0, 0, 1, 2, 3, 255) for f in fs])
+        full = {a: list(dict.fromkeys(f for f in q[:-1] if f in drawn)) for a, q in plays.items()}
+        thin, met = {}, set()
+        for r in pipelines.turns(table(drawn), steps, table(fixed) if fixed else None).orderBy("anim", "step").collect():
+            thin.setdefault(r["anim"], []).append(r["frame"])
+            met |= {r["frame"]} if r["fixed"] else set()
+        keys, known = {}, set(fixed)
+        for a, q in full.items():
+            if q and not known & set(q):
+                keys[a] = rng.choice(q)
+                assert thin[a] == q
+            known |= set(q)
+        assert pipelines.walk(thin, met, keys) == pipelines.walk(full, fixed, keys)
+
+
 def test_sheet_plan_against_counting():
     """Rows and greedy cuts as counted frame by frame."""
     import random
