@@ -5,6 +5,8 @@ frames on it, x and y in sheet pixels, w and h in source pixels. The result's ``
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,20 +34,28 @@ def tally(samples: DataFrame, tol: int = 0) -> DataFrame:
     in the order of first appearance (``at``).
 
     Background wins with more than half of the weight, or without a colour. Otherwise the heaviest colour wins, of equals the one
-    that appeared last; its share counts the colours within ``tol`` of it. Partial sums combine before the one shuffle."""
+    that appeared last; its share counts the colours within ``tol`` of it. Partial sums combine before the one shuffle. Weights are whole numbers
+    (long or decimal): sums are exact and rounded once to double, so the order of rows decides nothing."""
     per = samples.groupBy("frame", "i", "j", "c").agg(F.sum("w").alias("w"), F.min("at").alias("at"))
+    w = C("w").cast("double").alias("w")
     b = per.groupBy("frame", "i", "j").agg(
-        F.sum("w").alias("total"), F.sum(F.when(C("c").isNull(), C("w")).otherwise(0)).alias("bgw"), F.count("c").alias("n"),
-        F.max(F.when(C("c").isNotNull(), F.struct("w", "at", "c"))).alias("m"), F.array_sort(F.collect_list(F.struct("at", "c", "w"))).alias("l"),
+        F.sum("w").cast("double").alias("total"), F.sum(F.when(C("c").isNull(), C("w")).otherwise(0)).cast("double").alias("bgw"), F.count("c").alias("n"),
+        F.max(F.when(C("c").isNotNull(), F.struct(w, "at", "c"))).alias("m"), F.array_sort(F.collect_list(F.struct("at", "c", w))).alias("l"),
     )
     is_bg = (2 * C("bgw") > C("total")) | (C("n") == 0)
     near = lambda x: F.coalesce(P.dist2((x["c"]["r"], x["c"]["g"], x["c"]["b"]), (C("m.c.r"), C("m.c.g"), C("m.c.b"))) <= tol * tol, F.lit(False))
-    agree = F.aggregate("l", F.lit(0.0), lambda acc, x: acc + F.when(near(x), x["w"].cast("double")).otherwise(0.0))
+    agree = F.aggregate("l", F.lit(0.0), lambda acc, x: acc + F.when(near(x), x["w"]).otherwise(0.0))
     share = F.when(is_bg, C("bgw")).otherwise(agree) / C("total")
     cands = F.transform("l", lambda x, k: F.struct(x["c"].alias("c"), (x["w"] / C("total")).alias("share"), k.alias("ord")))
     return b.select("frame", "i", "j", F.when(~is_bg, C("m.c")).alias("win"), ((C("n") > 1) | ((C("bgw") > 0) & (C("n") > 0))).alias("contested"), share.alias("share"), cands.alias("cands"))
 
 
+def _whole(w: Column) -> Column:
+    """A real weight of 1 and more (below 1e11) as a whole number of 2**-52, its last place at most: exact."""
+    n = F.floor(w)
+    return (n.cast("decimal(11,0)") * F.lit(Decimal(2**52)) + ((w - n) * 2.0**52).cast("bigint").cast("decimal(17,0)")).cast("decimal(28,0)")
+
+
 def _placed(sheet: DataFrame, manifest: DataFrame) -> DataFrame:
     """Sheet pixels with the frame box they may belong to: fx, fy, fw, fh, ord. Boxes of one sheet are a few hundred at most, a
     fixed bound of the format (a canvas holds no more), so they are folded into one array per sheet and filtered there."""
@@ -74,7 +84,7 @@ def vote(sheet: DataFrame, manifest: DataFrame, scale: int, palette: DataFrame,
 
 def vote_fractional(sheet: DataFrame, grids: DataFrame, scale: int, palette: DataFrame, bg: tuple[int, int, int], keyed: tuple[int, int, int] | None = None, tol: int = 0, metric: str = "rgb") -> DataFrame:
     """The same on grids (sheet, ord, gx, gy, w, h, block) of real origins and block sizes: a pixel votes in the block that holds its
-    centre, with a triangle of its place in the block."""
+    centre, with a triangle of its place in the block. The real weights are summed exactly."""
     boxes = grids.groupBy(C("sheet").alias("_sheet")).agg(F.collect_list(F.struct("ord", "gx", "gy", "w", "h", "block")).alias("boxes"))
     cx, cy = C("x") + 0.5, C("y") + 0.5
     inside = lambda b: (cx >= b["gx"]) & (cx < b["gx"] + b["w"] * b["block"]) & (cy >= b["gy"]) & (cy < b["gy"] + b["h"] * b["block"])
@@ -87,7 +97,7 @@ def vote_fractional(sheet: DataFrame, grids: DataFrame, scale: int, palette: Dat
         return k, F.greatest(F.lit(1.0), (scale - 1) - F.abs(2 * t - 1) * scale / 2)
 
     (i, wi), (j, wj) = axis(cx, C("_b.gx")), axis(cy, C("_b.gy"))
-    s = p.select(C("_b.ord").alias("frame"), i.alias("i"), j.alias("j"), "c", (wi * wj).alias("w"), (C("y").cast("bigint") * 1_000_000 + C("x")).alias("at"))
+    s = p.select(C("_b.ord").alias("frame"), i.alias("i"), j.alias("j"), "c", _whole(wi * wj).alias("w"), (C("y").cast("bigint") * 1_000_000 + C("x")).alias("at"))
     return _complete(tally(s, tol), grids)
 
 

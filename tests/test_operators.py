@@ -81,6 +81,37 @@ def test_fractional_vote_equals_integer_vote(spark):
     assert rows(a, *cut) == rows(b, *cut)
 
 
+#: Blocks of a grid at (1.25, 0.75) of 4.375 whose heaviest colours weigh the same but for rounding, or whose background has half: column and row of the block,
+#: its first pixel, its pixels.
+TIED = [(7, 11, 32, 49, "aa.b accd dead ad.d"), (4, 11, 19, 49, ".a.b a.a. ..a. aaa."), (5, 10, 23, 44, ".cda bbcd .bfa cfda .cad"), (7, 0, 32, 1, "cc.d cg.g ..fa ddaa")]
+INK = {"a": (126, 37, 83), "b": (0, 0, 0), "c": (29, 43, 83), "d": (255, 0, 77), "e": (194, 195, 199), "f": (171, 82, 54), "g": (0, 135, 81)}
+
+
+def test_fractional_votes_hang_on_no_order(spark):
+    """Whatever the order of rows, the vote goes by the sums of the real weights, rounded once."""
+    import math
+
+    px = [(f, x + x0, y + y0, *c) for f, (_, _, x0, y0, text) in enumerate(TIED) for _, x, y, *c in picture(text, INK, f)]
+    weight = lambda c, o, k: max(1.0, 3 - abs(2 * ((c + 0.5 - (o + k * 4.375)) / 4.375) - 1) * 4 / 2)
+    want = {}
+    for f, (i, j, *_) in enumerate(TIED):
+        by, first = {}, {}
+        for _, x, y, *c, a in sorted((p for p in px if p[0] == f), key=lambda p: (p[2], p[1])):
+            k = tuple(c) if a else None
+            by.setdefault(k, []).append(weight(x, 1.25, i) * weight(y, 0.75, j))
+            first.setdefault(k, (y, x))
+        bg, total = math.fsum(by.pop(None, [])), math.fsum(weight(p[1], 1.25, i) * weight(p[2], 0.75, j) for p in px if p[0] == f)
+        best = max(by, key=lambda k: (math.fsum(by[k]), first[k]))
+        want[f] = (None, bg / total) if 2 * bg > total else (best, math.fsum(by[best]) / total)
+    pal = palettes.table(spark, list(INK.values()))
+    grids = spark.createDataFrame([(f, f, 1.25, 0.75, 14, 14, 4.375) for f in want], "sheet bigint, ord bigint, gx double, gy double, w int, h int, block double")
+    for rows_ in (px, px[::-1], sorted(px, key=lambda p: (p[1], p[2]))):
+        v = votes.vote_fractional(px_of(spark, rows_).coalesce(1), grids, 4, pal, (255, 0, 255))
+        got = {(r["frame"], r["i"], r["j"]): (r["win"] and tuple(r["win"]), r["share"]) for r in v.collect()}
+        for f, (i, j, *_) in enumerate(TIED):
+            assert got[f, i, j][0] == want[f][0] and abs(got[f, i, j][1] - want[f][1]) < 1e-15
+
+
 def votes_of(spark, grid):
     """Votes from {(i, j): (win, share, [(colour, share)])}."""
     s = lambda c: None if c is None else dict(zip("rgb", c))
