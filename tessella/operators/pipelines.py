@@ -104,10 +104,10 @@ def turns(drawn: DataFrame, steps: DataFrame, settled: DataFrame | None = None)
     return near.where("_near").join(fixed, "frame", "left").select("anim", "step", "frame", F.coalesce("fixed", F.lit(False)).alias("fixed"))
 
 
-def smooth(stock: DataFrame, drawn: DataFrame, crops: DataFrame, steps: DataFrame, settled: DataFrame | None = None) -> DataFrame:
+def smooth(stock: DataFrame, drawn: DataFrame, crops: DataFrame, steps: DataFrame, settled: DataFrame | None = None, most: int | None = 10) -> DataFrame:
     """Finished frames: within each animation, in play order, a frame takes over what the one before it settled wherever the stock did not change.
 
-    An animation that has no settled frame starts at its medoid, which is taken as drawn; frames settled before stay. Animations are walked in order, as one
+    An animation that has no settled frame starts at its medoid (of ``most`` evenly spread frames; None: of all), which is taken as drawn; frames settled before stay. Animations are walked in order, as one
     settles frames for the next. The walk is made on the driver from ``turns`` (three rows per frame at most). Shifts between neighbours hang on the stock
     alone, so all are found at once, and with their sums every frame gets the coordinates of the first frame of its chain: what a pixel may take over
     stands at its own place there. So the fold over the frames needs one shuffle, by chain and row of pixels; a task holds one row of a chain's frames."""
@@ -126,7 +126,7 @@ def smooth(stock: DataFrame, drawn: DataFrame, crops: DataFrame, steps: DataFram
     keys = {}
     if unkeyed:
         order = spark.createDataFrame([(a, i, f) for a in unkeyed for i, f in enumerate(seq[a])], "anim int, step int, frame bigint")
-        keys = {r["anim"]: r["frame"] for r in alignment.medoids(px_of_drawn, order, crops, reach=3).collect()}
+        keys = {r["anim"]: r["frame"] for r in alignment.medoids(px_of_drawn, order, crops, most, 3).collect()}
     todo = walk(seq, fixed, keys)
     done = settled.select("frame", "x", "y", *RGBA) if settled is not None else px_of_drawn.limit(0)
     pairs = [(f, g) for f, (g, _) in todo.items() if g is not None]

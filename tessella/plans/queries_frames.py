@@ -341,7 +341,7 @@ def pixelize(spark, d):
 def smooth(spark, d):
     p = X.flat(X.px(spark, d))
     s = X.steps(spark, d).select("anim", "step", "frame", "x", "y", "z", "last")
-    return pipelines.smooth(p, X.alt(p), layout.boxes(p), s)
+    return pipelines.smooth(p, X.alt(p), layout.boxes(p), s, most=None)
 
 
 # Samples ----------------------------------------------------------------------------------------------------------------

@@ -433,6 +433,57 @@ def test_smooth_matches_a_walk(spark):
     assert again.count() == 72 * len(played)
 
 
+@pytest.mark.parametrize("most", [10, None])
+def test_medoids_are_those_of_best_shifts(spark, most):
+    """Sums of the best shifts' misses over all frames, or over those taken, with clear frames, frames that share no place and one alone."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(0, 3, (6, 5)) * 90
+    data = []
+    for f in range(13):
+        mx, my, noise = rng.integers(0, 4), rng.integers(0, 4), rng.random((6, 5)) < 0.1 + 0.05 * (f % 4)
+        on = {(x + mx, y + my): int(base[y, x] + 60 * noise[y, x]) for y in range(6) for x in range(5)} if f != 4 else {}
+        data += [(f, x, y, c := on.get((x, y), 0), c // 2, 7, 255 if (x, y) in on else 0) for y in range(9) for x in range(8)]
+    data += [(20, 90, 90, 5, 5, 5, 255), (21, 0, 0, 5, 5, 5, 255)]
+    px = px_of(spark, data)
+    seqs = {0: [7, 3, 5, 12, 0, 9, 1, 4, 11, 2, 20, 6, 10, 8], 1: [21], 2: [20, 21], 3: [4, 4 + 9]}
+    order = spark.createDataFrame([(a, i, f) for a, q in seqs.items() for i, f in enumerate(q)], "anim int, step int, frame bigint")
+    for crops in (layout.boxes(px), None):
+        boxed = {r["frame"] for r in crops.collect()} if crops is not None else None
+        want = {}
+        for a, q in seqs.items():
+            pick = q if most is None or len(q) <= most else [q[i * len(q) // most] for i in range(most)]
+            todo = spark.createDataFrame([(f, g) for f in pick for g in pick if f != g], "f bigint, g bigint")
+            todo = alignment.starts(todo, crops) if crops is not None else todo.withColumns({"sx": F.lit(0), "sy": F.lit(0)})
+            cost = {}
+            for r in alignment.best_shift(px, px, todo, 3).collect():
+                cost.setdefault(r["f"], []).append(r["miss"])
+            if cost:
+                want[a] = min((round(sum(m), 12), pick.index(f), f) for f, m in cost.items() if boxed is None or f in boxed)
+        got = {r["anim"]: (r["frame"], r["total"]) for r in alignment.medoids(px, order, crops, most).collect()}
+        assert got == {a: (f, total) for a, (total, _, f) in want.items()}
+
+
+def test_smooth_query_takes_its_key_from_all_frames(spark, tmp_path):
+    """Twelve frames, of which ten evenly spread ones leave out the sixth, the one most like the others: it is the key, so it stays as drawn."""
+    from tessella.plans import fixtures as X, registry
+
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 3, (256, 2))
+    events, red = [], {v * 37 % 256: v for v in range(256)}
+    for f in range(12):
+        at = rng.random(256) < (0.2 if f != 5 else 0)
+        for i in range(256):
+            r, g = base[i] if not at[i] else rng.integers(0, 3, 2)
+            events.append((f * 256 + i, red[int(r) * 96], float(g * 96), "view"))
+    keys = [40, 41, 42, 43, 44, 85, 86, 87, 88, 89, 130, 131]  # frames 0 to 11 in order; the second half of the steps is not played
+    spark.createDataFrame(events, "event_id bigint, user_id bigint, value double, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame([(k, 50) for k in [*keys, *range(200, 212)]], "o_orderkey bigint, o_custkey bigint").write.parquet(str(tmp_path / "orders.parquet"))
+    drawn = {f: rows(X.alt(X.flat(X.px(spark, str(tmp_path)))).where(F.col("frame") == f), "x", "y", "r", "g", "b", "a") for f in range(12)}
+    out = registry.queries()["x10_smooth"](spark, str(tmp_path)).collect()
+    got = {f: sorted(tuple(r)[1:] for r in out if r["frame"] == f) for f in range(12)}
+    assert [f for f in got if got[f] == drawn[f]] == [5]
+
+
 def test_smooth_brings_few_steps_to_the_driver(spark, monkeypatch):
     """Rows that reach the driver follow the frames, not the steps or the animations."""
     px = px_of(spark, [(f, x, y, 90 * f, 40, 200, 255) for f in range(3) for x in range(4) for y in range(4)])
